@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import quality, quality_rules
+from strandline.llm import bpe, media, packing, quality, quality_rules, token_counts
 from strandline.llm.common import held_out, table
 
 
+def _vocabulary(name: str) -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = _vocabulary("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
+    both = docs.select("doc_id", "ids", bpe.decode(F.col("ids"), path, pattern).alias("raw"))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("raw", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -18,6 +36,36 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    raw = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload"))
+    stored = raw.select("doc_id", "n_bytes", media.to_gif(F.col("payload")).alias("media"))
+    read = stored.select("doc_id", "n_bytes", "media", media.summary(F.col("media")).alias("s"))
+    back = F.col("s.samples")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(back).cast("long").alias("payload_bytes"),
+        F.sha2(back, 256).alias("payload_sha256"),
+        F.crc32(F.substring(back, -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.col("s.n_frames").cast("string"), F.col("s.duration_ms").cast("string"), F.array_join(F.col("s.histogram").cast("array<string>"), ",")).alias("feature"),
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The rank file holds the vocabulary of byte_bpe_50k.json; tests hold the ids against the tokenizers library.
+    path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), path, pattern)
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = _vocabulary("piece_bpe_32k.model")
+    return table(spark, sf_dir, "documents").select("doc_id", token_counts.count(F.col("text"), path).alias("c")).select("doc_id", "c.*")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -27,7 +75,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
+    "op3_gif": op3_gif,
+    "op6_packing": op6_packing,
+    "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
