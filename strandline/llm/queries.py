@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, media, packing, quality, quality_rules, token_counts
+from strandline.llm import bpe, media, ngram_join, packing, quality, quality_rules, sharding, token_counts
 from strandline.llm.common import held_out, table
 
 
@@ -54,6 +54,15 @@ def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The rank file holds the vocabulary of byte_bpe_50k.json; tests hold the ids against the tokenizers library.
     path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
@@ -78,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
     "op3_gif": op3_gif,
+    "op4_sharding": op4_sharding,
+    "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
