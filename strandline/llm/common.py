@@ -28,6 +28,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def only(df: DataFrame, verdict: Column, columns: list[str]) -> DataFrame:
+    """The rows whose verdict is true. The verdict is computed once, where it stands.
+
+    A plain filter would be pushed below the projections that made the verdict and repeat their
+    expressions inside the condition.
+    """
+    whole = F.explode(F.when(verdict, F.array(F.struct(*columns))))
+    return df.select(whole.alias("_row")).select("_row.*")
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no fit may see: crc32 of the id as text is divisible by five."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

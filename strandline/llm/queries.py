@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, media, ngram_join, packing, quality, quality_rules, sharding, token_counts, toxicity
+from strandline.llm import bpe, media, ngram_join, packing, pii, quality, quality_rules, sharding, token_counts, toxicity
 from strandline.llm.common import held_out, table
 
 
@@ -70,6 +70,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.detect(docs.select("doc_id", "text"), pii.fit(docs), keep=["doc_id"])
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    many = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *many, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -97,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
