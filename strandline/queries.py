@@ -17,3 +17,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    from strandline.plans import event_queries, series_queries  # noqa: F401
+
+
+_load()
