@@ -86,8 +86,10 @@ def viterbi(t_us: np.ndarray, p: np.ndarray, tau_open_h: float, tau_closed_h: fl
     emit = np.log(np.stack([1 - q, q], 1))
     states = np.zeros(n, np.int64)
     hours = np.diff(t_us) / 3.6e9
+    if not n:
+        return states
     starts = [0, *(np.flatnonzero(hours > gap_h) + 1), n]
-    seed = int(q[0] >= 0.5) if n else 0
+    seed = int(q[0] >= 0.5)
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         score = np.log([0.8, 0.2] if seed == 0 else [0.2, 0.8]) + emit[a]
         back = np.zeros((b - a, 2), np.int64)
