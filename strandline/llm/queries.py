@@ -111,5 +111,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express; the others are held against brute force in tests.
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_join": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w),
+u as (select doc_id, len(s) as n, unnest(s) as g from s),
+links as (
+  select a.doc_id as a, b.doc_id as b from u a join u b using (g) group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a)
+select doc_id, len(s)::bigint as n_shingles, coalesce((select min(b) from reach where a = doc_id), doc_id) as component_id from s""",
+}
