@@ -79,3 +79,9 @@ def unit(a: Column, eps: float = 1e-8) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def snapped(west: Column, south: Column, east: Column, north: Column, cell: float) -> list[Column]:
+    """The box grown outwards to the grid of the given cell size."""
+    down, up = (lambda c: F.floor(c / cell) * cell), (lambda c: F.ceil(c / cell) * cell)
+    return [down(west).alias("west"), down(south).alias("south"), up(east).alias("east"), up(north).alias("north")]

@@ -69,3 +69,46 @@ def with_precedence(frames: list[DataFrame], keys: list[str], order: list[Column
     for f in tagged[1:]:
         both = both.unionByName(f, allowMissingColumns=True)
     return first_by(both, keys, [F.col("source_rank"), *order])
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, cell: float) -> DataFrame:
+    """Pairs of points and polygons (array<struct<x, y>>, not closed) that hold them, by ray casting.
+
+    Polygons are laid out over the grid cells of their bounding box, so the join is on the cell.
+    """
+    ends = {f"_{f}{c}": getattr(F, f"array_{f}")(F.transform(ring, lambda v: v[c])) for c in "xy" for f in ("min", "max")}  # noqa: B023
+    span = lambda c: F.sequence(F.floor(F.col(f"_min{c}") / cell), F.floor(F.col(f"_max{c}") / cell))
+    g = polygons.withColumns(ends).withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
+    p = points.withColumns({"_px": F.col(x).cast("double"), "_py": F.col(y).cast("double")}).withColumns({"_cx": F.floor(F.col("_px") / cell), "_cy": F.floor(F.col("_py") / cell)})
+    n = F.size(ring)
+
+    def crosses(v: Column, i: Column) -> Column:
+        w = F.get(ring, (i + 1) % n)
+        spans = (v["y"] > F.col("_py")) != (w["y"] > F.col("_py"))
+        return F.when(spans & (F.col("_px") < (w["x"] - v["x"]) * (F.col("_py") - v["y"]) / F.when(w["y"] != v["y"], w["y"] - v["y"]) + v["x"]), 1).otherwise(0)
+
+    odd = F.aggregate(F.transform(ring, crosses), F.lit(0), lambda a, b: a + b) % 2 == 1
+    return p.join(g, ["_cx", "_cy"]).where(odd).drop("_cx", "_cy", "_px", "_py", *ends)
+
+
+def first_existing(df: DataFrame, candidates: list[Column], files: DataFrame, path: str) -> DataFrame:
+    """df with the first of its candidate paths that the catalog holds; rows without any are dropped."""
+    names = [f"_c{k}" for k in range(len(candidates))]
+    out = df.withColumns(dict(zip(names, candidates, strict=True)))
+    known = files.select(path).distinct()
+    for n in names:
+        out = out.join(known.withColumnRenamed(path, f"{n}_found"), F.col(n) == F.col(f"{n}_found"), "left")
+    return out.withColumn(path, F.coalesce(*[f"{n}_found" for n in names])).where(F.col(path).isNotNull()).drop(*names, *[f"{n}_found" for n in names])
+
+
+def knn_mean(queries: DataFrame, known: DataFrame, key: str, x: str, y: str, value: str, k: int, cell: float) -> DataFrame:
+    """(key, mean, found): the inverse-distance mean of the value of at most k known points within ``cell`` of each query."""
+    b = known.select(F.col(key).alias("_id"), F.col(x).alias("_bx"), F.col(y).alias("_by"), F.col(value).cast("double").alias("_v"))
+    a = queries.select(key, x, y)
+    around = F.explode(F.expr("flatten(transform(array(-1,0,1), i -> transform(array(-1,0,1), j -> struct(i as i, j as j))))"))
+    a = a.withColumn("_o", around).withColumns({"_cx": F.floor(F.col(x) / cell) + F.col("_o.i"), "_cy": F.floor(F.col(y) / cell) + F.col("_o.j")})
+    met = a.join(b.withColumns({"_cx": F.floor(F.col("_bx") / cell), "_cy": F.floor(F.col("_by") / cell)}), ["_cx", "_cy"])
+    met = met.withColumn("_d", F.sqrt(F.pow(F.col(x) - F.col("_bx"), 2) + F.pow(F.col(y) - F.col("_by"), 2))).where(F.col("_d") <= cell)
+    near = met.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_id"))).where(F.col("_n") <= k)
+    w = 1 / F.greatest(F.col("_d"), F.lit(1e-12))
+    return near.groupBy(key).agg(F.round(F.sum(w * F.col("_v")) / F.sum(w), 6).alias("mean"), F.count(F.lit(1)).alias("found"))

@@ -86,3 +86,10 @@ def kappa(conf: DataFrame) -> DataFrame:
     seen = conf.agg(F.sum("n").alias("_n"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)).alias("_o"))
     e = F.coalesce(F.col("_e"), F.lit(0.0)) / (F.col("_n").cast("double") * F.col("_n"))
     return seen.crossJoin(F.broadcast(chance)).select(((F.col("_o") / F.col("_n") - e) / (1 - e)).alias("kappa"))
+
+
+def precision_threshold(df: DataFrame, score: str, y: str, precision: float) -> DataFrame:
+    """One row: the least score at which the precision is reached, else the one of the best precision times recall."""
+    c = pr_curve(df, score, y)
+    least = F.min(F.when(F.col("precision") >= precision, F.col("score")))
+    return c.agg(F.coalesce(least, F.max_by("score", F.col("precision") * F.col("recall"))).alias("threshold"))
