@@ -46,28 +46,34 @@ def covers(rule: Rule, x: np.ndarray, names: list[str]) -> np.ndarray:
     return reduce(np.logical_and, (c.holds(x, names) for c in rule), np.ones(len(x), bool))
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: list[np.ndarray], most: int) -> Rule:
-    rule: list[Condition] = []
-    live = np.ones(len(x), bool)
-    for _ in range(most):
-        p0, n0 = (bad & live).sum(), (~bad & live).sum()
-        if not n0:
+def _best_conditions(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: list[np.ndarray]) -> list[tuple[float, Condition]]:
+    """For each statistic the condition of most information gain, if any gains; counts of all cuts come from one pass."""
+    p0, n0 = int(bad.sum()), int((~bad).sum())
+    out = []
+    if not p0 or not n0:
+        return out
+    base = np.log2(p0 / (p0 + n0))
+    for k, name in enumerate(names):
+        where = np.searchsorted(cuts[k], x[:, k], side="left")  # x > cuts[j] where j < where
+        low_p, low_n = (np.cumsum(np.bincount(where[m], minlength=len(cuts[k]) + 1))[:-1] for m in (bad, ~bad))
+        for above, p, n in ((True, p0 - low_p, n0 - low_n), (False, low_p, low_n)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(p > 0, p * (np.log2(p / (p + n)) - base), 0.0)
+            j = int(np.argmax(gain))
+            if gain[j] > 1e-9:
+                out.append((float(gain[j]), Condition(name, above, float(cuts[k][j]))))
+    return sorted(out, key=lambda c: -c[0])
+
+
+def _grow(first: Condition, x: np.ndarray, bad: np.ndarray, names: list[str], cuts: list[np.ndarray], most: int) -> Rule:
+    rule = [first]
+    live = first.holds(x, names)
+    while len(rule) < most:
+        found = _best_conditions(x[live], bad[live], names, cuts)
+        if not found:
             break
-        base, best, gain = np.log2(p0 / (p0 + n0)), None, 1e-9
-        for k, name in enumerate(names):
-            v, hit = x[live, k], bad[live]
-            for cut in cuts[k]:
-                over = v > cut
-                for above, mask in ((True, over), (False, ~over)):
-                    p = int((hit & mask).sum())
-                    if p:
-                        g = p * (np.log2(p / mask.sum()) - base)
-                        if g > gain:
-                            best, gain = Condition(name, above, float(cut)), g
-        if best is None:
-            break
-        rule.append(best)
-        live &= best.holds(x, names)
+        rule.append(found[0][1])
+        live &= rule[-1].holds(x, names)
     return tuple(rule)
 
 
@@ -93,14 +99,18 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int = 12,
         if (bad & grow).sum() < min_cover or not (~bad & grow).any():
             break
         cuts = [np.unique(np.concatenate([np.quantile(x[grow, k], np.linspace(0, 1, grid)), np.quantile(x[grow & bad, k], np.linspace(0, 1, grid))])) for k in range(len(names))]
-        rule = _grow(x[grow], bad[grow], names, cuts, max_conditions)
-        if not rule:
+        # A rule is grown from the best condition of every statistic; the one that covers most and is precise enough stays.
+        best: tuple[int, Rule] | None = None
+        for _, first in _best_conditions(x[grow], bad[grow], names, cuts):
+            rule, precision, cover = _prune(_grow(first, x[grow], bad[grow], names, cuts, max_conditions), x[prune], bad[prune], names)
+            hit = covers(rule, x, names) & open_
+            overall = (bad & hit).sum() / max(hit.sum(), 1)
+            if cover >= min_cover and min(precision, overall) >= min_precision and (best is None or (bad & hit).sum() > best[0]):
+                best = (int((bad & hit).sum()), rule)
+        if best is None:
             break
-        rule, precision, cover = _prune(rule, x[prune], bad[prune], names)
+        rule = best[1]
         hit = covers(rule, x, names) & open_
-        overall = (bad & hit).sum() / max(hit.sum(), 1)
-        if cover < min_cover or min(precision, overall) < min_precision:
-            break
         rules.append(rule)
         open_ &= ~hit
     return rules
