@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.storage import materialise as checkpointed
+
 #: ASCII white space, the only characters that separate words here.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -15,17 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
+    """The batches in parts of few rows, so that a worker holds the results of few texts at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once to the cluster's shared checkpoint folder and cut its lineage.
 
-    The folder is the one named by ``spark.checkpoint.dir``; a temporary one is set only where
-    the session names none (single-machine tests).
+    Shuffle files of earlier steps go when the driver collects what refers to them, so it is asked to
+    before each step: a chain of steps then needs the disk of its largest ones only.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
-    return df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return checkpointed(df)
 
 
 def only(df: DataFrame, verdict: Column, columns: list[str]) -> DataFrame:
