@@ -19,6 +19,8 @@ import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.llm.common import slices
+
 #: White space, one space, white space or the end: there a cut before the space would change a match.
 _RAGGED = re.compile(r"(?:^|\s) (?=\s|$)")
 #: A cut is safe after these: no match holds a non-space followed by a space, or leaves a run of
@@ -50,7 +52,7 @@ def safe_pieces(text: str, size: int = 1 << 15) -> Iterator[str]:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers; remembers at most ``words`` short words."""
 
-    def __init__(self, path: str, pattern: str, words: int = 400_000):
+    def __init__(self, path: str, pattern: str, words: int = 200_000):
         self.encoding, self.words, self.known = load(path, pattern), words, {}
 
     def _plain(self, text: str) -> bytes:
@@ -92,7 +94,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             parts = [enc.encode(t.as_py() or "") for t in batch]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int64)
             values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
@@ -107,7 +109,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, pattern).encoding
-        for batch in batches:
+        for batch in slices(batches):
             flat, ends = batch.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(x) if x.is_valid else 0 for x in batch)])
             yield pa.array([enc.decode_bytes(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 

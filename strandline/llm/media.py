@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.llm.common import slices
+
 WIDTH, ROWS, DELAY_CS = 64, 1024, 10
 _GREYS = bytes(v for i in range(256) for v in (i, i, i))
 _MOST = 4096
@@ -211,7 +213,7 @@ def to_gif(samples: Column) -> Column:
 
     @F.arrow_udf("binary")
     def stored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([encode_gif(x.as_py()) if x.is_valid else None for x in batch], pa.binary())
 
     return stored(samples)
@@ -226,7 +228,7 @@ def summary(media: Column) -> Column:
 
     @F.arrow_udf("struct<samples:binary,n_frames:int,duration_ms:bigint,histogram:array<bigint>>")
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for x in batch:
                 parts, total, ms = [], np.zeros(64, np.int64), 0
@@ -250,7 +252,7 @@ def frames(media: Column) -> Column:
     @F.arrow_udf(_FRAME)
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("disposal", pa.int32()), ("rgb", pa.binary()), ("histogram", pa.list_(pa.int64()))]))
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for x in batch:
                 got = []
