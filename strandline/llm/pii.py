@@ -4,8 +4,10 @@ Fixed base patterns with their checks always count. High-recall generators propo
 overlapping spans (numbers in looser forms, addresses with written-out signs); boosted trees score
 each by features of its format and its context, and thresholds calibrated to a precision select what
 is added. The trees learn from the corpus itself: spans that pass a base pattern's checks, and the
-same spans in looser forms, are positive; candidates that fail the checks are negative. Matching,
-features and scoring are built-in expressions on each row; nothing is shuffled.
+same spans in looser forms, are positive; candidates that fail their kind's own check, and base spans
+in broken forms, are negative; candidates that pass it and are no base spans belong to neither.
+Matching, features and scoring are built-in expressions on each row; the fit counts the distinct
+texts of each feature vector, so only short rows of candidates are shuffled.
 """
 
 from __future__ import annotations
@@ -106,15 +108,33 @@ def features(kind: str, m: Column, before: Column, after: Column) -> list[Column
         "phone": F.length(d).between(9, 15),
     }[kind]
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    upto = lambda n, c: F.least(c, F.lit(n))
     cols = [
-        F.length(m), F.length(d), F.size(groups), F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)),
-        many(r"\.|\[dot\]|\(dot\)"), many("-"), many(" "), many("[()]"), many(r"\+"), flag(m.rlike("@|[\\[(]at[\\])]")),
+        upto(64, F.length(m)), upto(20, F.length(d)), upto(8, F.size(groups)), upto(20, F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0))),
+        upto(16, many(r"\.|\[dot\]|\(dot\)")), upto(8, many("-")), upto(8, many(" ")), upto(8, many("[()]")), upto(2, many(r"\+")), flag(m.rlike("@|[\\[(]at[\\])]")),
         flag(checked), flag(before.rlike(WORDS[kind])), flag(before.rlike(OTHER_NUMBERS)),
         flag(before.rlike(r"[A-Za-z0-9_.=\x22'-]$")), flag(after.rlike("^[A-Za-z0-9_=-]")),
     ]
     return [c.cast("double") for c in cols]
 
 
+def plausible(kind: str, m: Column, before: Column) -> Column:
+    """The kind's own check of a candidate in any form. Digits alone don't make a phone without a plus: it must be
+    laid out in groups or named, and be no date, no address, no card and not named as another number."""
+    d = _digits(m)
+    groups = F.filter(F.split(m, "[^0-9]+"), lambda g: g != "")
+    quad = (F.size(groups) == 4) & F.forall(groups, lambda g: (F.length(g) <= 3) & (F.coalesce(g.try_cast("int"), F.lit(999)) <= 255)) & m.rlike(r"^[0-9]+(?:\x20?\.\x20?[0-9]+){3}$")
+    if kind == "email":
+        return m.rlike(r"(?:\.|dot[\])])\x20?[A-Za-z]{2,}$") & m.rlike(r"[a-z]")
+    if kind == "ip":
+        return quad
+    if kind == "card":
+        return passes("card", m)
+    named = before.rlike(WORDS["phone"])
+    other = quad | passes("card", m) | m.rlike(r"^(?:19|20)[0-9]{2}[.-][0-9]{2}[.-][0-9]{2}") | (before.rlike(OTHER_NUMBERS) & ~named)
+    return passes("phone", m) & ~other & (m.contains("+") | (F.size(groups) > 1) | named)
+
+
 def candidates(text: Column) -> Column:
     """array<struct<start, kind, end, match, before, after>>: overlapping proposals, one for each kind that a match may be."""
     whole = lambda m, k: F.struct(
@@ -143,36 +163,68 @@ class Model:
 
 
 #: Looser forms of a base span, which become positives of the same kind.
-LOOSER = {"email": [("@", " [at] "), ("@", " (at) ")], "ip": [], "card": [], "phone": [(r"^\+[0-9]{1,2} ?", ""), (r"^\+", "")]}
+LOOSER = {
+    "email": [("@", " [at] "), ("@", " (at) "), ("@", " @ ")],
+    "ip": [(r"\.", ". "), (r"\.", " . ")],
+    "card": [(r"^([0-9]{4})[ -]?([0-9]{4})[ -]?([0-9]{4})[ -]?", "$1.$2.$3."), (r"^([0-9]{4})[ -]?([0-9]{4})[ -]?([0-9]{4})[ -]?", "$1  $2  $3  ")],
+    "phone": [(r"^\+[0-9]{1,2} ?", ""), (r"^\+", ""), (r"^\+[0-9]{1,2} ?\(?([0-9]{3})\)? ?([0-9]{3})-?", "$1.$2.")],
+}
+
+
+def _broken(kind: str, m: Column) -> Column:
+    """A base span damaged so that it fails the kind's check."""
+    last = F.translate(F.substring(m, -1, 1), "0123456789", "1234567890")
+    return {
+        "email": F.regexp_replace(m, "(@[A-Za-z0-9-]+).*$", "$1"),
+        "ip": F.regexp_replace(m, "[0-9]+$", "400"),
+        "card": F.concat(F.substring(m, F.lit(1), F.length(m) - 1), last),
+        "phone": F.substring(m, 1, 9),
+    }[kind]
 
 
-def fit(docs: DataFrame, rows: int = 4_000, max_chars: int = 20_000, precision: float = 0.995, least: int = 40) -> Model:
-    """Trees and thresholds from the candidates in at most ``rows`` documents with digits or an @, in hash order.
+def examples(docs: DataFrame) -> DataFrame:
+    """(kind, y, x, n): in how many distinct texts of all documents the feature vector x occurs as a positive or negative.
 
-    Texts longer than ``max_chars`` are not fitted on. A kind with fewer than ``least`` positives or
-    negatives adds nothing beyond its base spans; so does any kind on an empty table.
+    Features are clipped, so the number of vectors is bounded by the forms there are, not by the documents.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.select(text.alias("text")).where((F.length("text") <= max_chars) & F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(rows)
-    both = some.select(base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("c"))
-    each = both.select("base", F.explode("c").alias("c")).select("c.*", F.exists("base", lambda b: (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")) & (b["kind"] == F.col("c.kind"))).alias("y"))
+    some = docs.select(text.alias("text")).where(F.col("text").rlike(r"[0-9@]|[\[(]at[\])]"))
+    both = some.select(F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("c"))
+    same = F.exists("base", lambda b: (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")) & (b["kind"] == F.col("c.kind")))
+    each = both.select("h", "base", F.explode("c").alias("c")).select("h", "c.kind", "c.match", "c.before", "c.after", same.alias("known"))
+    m = F.col("match")
+    form = lambda text, y: F.struct(text.alias("match"), F.lit(y).alias("y"))
+    of = lambda choice: F.coalesce(*[F.when(F.col("kind") == k, choice(kind)) for k, kind in enumerate(KINDS)])
+    forms = of(lambda kind: F.array(form(m, True), *[form(F.regexp_replace(m, a, b), True) for a, b in LOOSER[kind]], form(_broken(kind, m), False)))
+    each = each.select("h", "kind", "before", "after", F.explode(F.when(F.col("known"), forms).otherwise(F.array(form(m, False)))).alias("f")).select("h", "kind", "before", "after", "f.*")
+    each = each.where(F.col("y") | ~of(lambda kind: plausible(kind, m, F.col("before"))))
+    x = of(lambda kind: F.array(*features(kind, m, F.col("before"), F.col("after"))))
+    return each.select("h", "kind", "y", x.alias("x")).distinct().groupBy("kind", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit(docs: DataFrame, precision: float = 0.995, least: int = 40) -> Model:
+    """Trees and thresholds from the candidates of all documents, counted by distinct text.
+
+    A kind with fewer than ``least`` positives or negatives adds nothing beyond its base spans; so does
+    any kind on an empty table.
+    """
+    got = sorted((r.kind, r.y, tuple(r.x), r.n) for r in examples(docs).collect())
     forests, cuts = {}, {}
     for k, kind in enumerate(KINDS):
-        mine = each.where(F.col("kind") == k).select("match", "before", "after", "y")
-        forms = [mine] + [mine.where("y").withColumn("match", F.regexp_replace("match", a, b)) for a, b in LOOSER[kind]]
-        table = reduce(DataFrame.union, forms).select("y", *features(kind, F.col("match"), F.col("before"), F.col("after")))
-        got = np.array([tuple(r) for r in table.limit(8 * rows).collect()], float).reshape(-1, len(FEATURES) + 1)
-        y = got[:, 0]
-        if min(y.sum(), len(y) - y.sum()) < least:
+        mine = [(y, x, n) for j, y, x, n in got if j == k]
+        y, n = np.array([v[0] for v in mine], float), np.array([v[2] for v in mine], np.int64)
+        if min(n[y == 1].sum(), n[y == 0].sum()) < least:
             continue
-        turn = np.random.default_rng(5).random(len(y)) < 0.3
-        forest = boosting.fit(got[~turn, 1:], y[~turn])
-        z = forest.logits(got[turn, 1:])
-        order = np.argsort(-z)
-        right = np.cumsum(y[turn][order]) / np.arange(1, len(order) + 1)
-        ok = np.flatnonzero(right >= precision)
+        x = np.array([v[1] for v in mine], float)
+        held = np.random.default_rng(5).binomial(n, 0.3)
+        forest = boosting.fit(x[n > held], y[n > held], weights=(n - held)[n > held])
+        z = forest.logits(x)
+        order = np.argsort(-z, kind="stable")
+        right = np.cumsum((y * held)[order]) / np.maximum(1, np.cumsum(held[order]))
+        # Equal scores are selected together, so the precision counts where they end.
+        ends = np.append(np.diff(z[order]) != 0, True)
+        ok = np.flatnonzero((right >= precision) & ends)
         if len(ok):
-            # At ties the threshold lies above them all unless they end within the precise part.
             forests[kind], cuts[kind] = forest, max(float(z[order][ok[-1]]), float(np.log(0.9 / 0.1)))
     return Model(forests, cuts)
 
@@ -180,7 +232,8 @@ def fit(docs: DataFrame, rows: int = 4_000, max_chars: int = 20_000, precision:
 def detect(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Each document with ``base`` and ``spans``, both array<struct<start, kind, end, match>> by start, then kind.
 
-    ``spans`` holds every base span and the selected candidates that touch none of them; overlapping
+    ``spans`` holds every base span and the selected candidates that pass their kind's own check and
+    touch no base span; overlapping
     candidates of different kinds may both be selected. Null and empty texts have none; equal texts
     have equal spans. Columns of the input named like an output are replaced.
     """
@@ -193,7 +246,7 @@ def detect(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 
     def selected(c: Column) -> Column:
         tests = [
-            (c["kind"] == k) & (model.forests[kind].column(features(kind, c["match"], c["before"], c["after"])) >= model.cuts[kind])
+            (c["kind"] == k) & plausible(kind, c["match"], c["before"]) & (model.forests[kind].column(features(kind, c["match"], c["before"], c["after"])) >= model.cuts[kind])
             for k, kind in enumerate(KINDS) if kind in model.forests
         ]
         return reduce(lambda a, b: a | b, tests)

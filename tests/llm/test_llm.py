@@ -309,6 +309,35 @@ def test_pii_model_and_redaction(spark, docs, empty):
     assert [x.spans for x in pii.detect(docs.where("text is null"), model).collect()] == [[]] * 2
 
 
+def luhn_16(r):
+    d = [r.randrange(1, 10) for _ in range(15)]
+    total = sum(2 * v - 9 * (2 * v > 9) if i % 2 == 0 else v for i, v in enumerate(d))
+    return "".join(map(str, [*d, -total % 10]))
+
+
+def test_pii_finds_planted_loose_spans(spark):
+    r = random.Random(11)
+    dial = lambda: f"({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"
+    quad = lambda: ".".join(str(r.randrange(1, 255)) for _ in range(4))
+    rows = []
+    for i in range(400):
+        card = luhn_16(r)
+        wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+        rows += [f"alpha u{i}@mail.example.com beta", f"alpha +1 {dial()} beta", f"alpha {quad()} beta", f"alpha {card} beta", f"alpha {wrong} beta", f"order {i + 2000} {i + 1000} beta"]
+    # Two hundred copies of a document with a loose form: what is not a base span is no negative for that.
+    rows += ["alpha someone [at] mail.example.com beta 4111.1111.1111.1111 beta"] * 200
+    model = pii.fit(spark.createDataFrame([(t,) for t in rows], "text string"), least=10)
+    assert set(model.forests) == set(pii.KINDS)
+    card = luhn_16(r)
+    loose = [("email", "someone [at] mail.example.com"), ("phone", dial()), ("ip", quad().replace(".", ". ")), ("card", ".".join(card[k : k + 4] for k in range(0, 16, 4)))]
+    for kind, span in loose:
+        text = f"alpha {span} beta"
+        got = pii.detect(spark.createDataFrame([(text,)], "text string"), model).select(pii.listed(F.col("base")), pii.listed(F.col("spans"))).first()
+        assert got[0] == "" and f"{kind}:6:{6 + len(span)}" in got[1].split(","), (kind, span, got)
+    for text in ["on 2024-01-02 10 beta", "version 1234 5678 901 beta", "alpha someone@mail beta", "alpha 4111.1111.1111.1112 beta"]:
+        assert pii.detect(spark.createDataFrame([(text,)], "text string"), model).select(pii.listed(F.col("spans"))).first()[0] == "", text
+
+
 def test_boosting_column_equals_numpy(spark):
     r = np.random.default_rng(1)
     x = r.random((400, 3))
