@@ -62,6 +62,11 @@ def match_events(truth: DataFrame, found: DataFrame, tolerance_us: int, optimal:
     return truth.select(cols).groupBy(key).cogroup(found.select(cols).groupBy(key)).applyInPandas(per_key, f"{key} {kind}, tp bigint, fp bigint, fn bigint, mae_days double")
 
 
+def of_every(matched: DataFrame, keys: DataFrame, key: str = "site") -> DataFrame:
+    """``matched`` with a row for every key of ``keys``: tp, fp and fn are 0 and mae_days null without events."""
+    return keys.select(key).distinct().join(matched, key, "left").fillna(0, ["tp", "fp", "fn"])
+
+
 def ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(0.0)
 

@@ -20,29 +20,34 @@ def both(spark, sf_dir, min_run: int = 2):
     return truth, found
 
 
+def matches(spark, sf_dir, optimal: bool = False):
+    """The matched events of every observed site, those without any event included."""
+    return events.of_every(events.match_events(*both(spark, sf_dir), TOL_US, optimal), observations(spark, sf_dir))
+
+
 def _rounded(df, *names):
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
 @query("greedy_match")
 def greedy_match(spark, sf_dir):
-    return events.match_events(*both(spark, sf_dir), TOL_US)
+    return matches(spark, sf_dir)
 
 
 @query("optimal_match")
 def optimal_match(spark, sf_dir):
-    return events.match_events(*both(spark, sf_dir), TOL_US, optimal=True)
+    return matches(spark, sf_dir, optimal=True)
 
 
 @query("site_evaluation")
 def site_evaluation(spark, sf_dir):
     """Flagship: decode truth and predictions, extract changes, match them, score every site."""
-    return _rounded(events.with_scores(events.match_events(*both(spark, sf_dir), TOL_US)), "mae_days", "precision", "recall", "f1")
+    return _rounded(events.with_scores(matches(spark, sf_dir)), "mae_days", "precision", "recall", "f1")
 
 
 @query("micro_macro_events")
 def micro_macro_events(spark, sf_dir):
-    return events.macro_micro(events.with_scores(events.match_events(*both(spark, sf_dir), TOL_US)))
+    return events.macro_micro(events.with_scores(matches(spark, sf_dir)))
 
 
 @query("hmm_viterbi")
@@ -62,6 +67,6 @@ def loso_search(spark, sf_dir):
     for k, tau_open, tau_closed in GRID:
         decoded = events.hmm_states(o, "p", tau_open, tau_closed, 24)
         found = series.change_events(decoded, "state", GAP_US)
-        scored = events.with_scores(events.match_events(truth, found, TOL_US, optimal=True)).withColumn("param", F.lit(k))
+        scored = events.with_scores(events.of_every(events.match_events(truth, found, TOL_US, optimal=True), o)).withColumn("param", F.lit(k))
         out = scored if out is None else out.unionByName(scored)
     return events.leave_one_out(out.select("site", "param", "tp", "fp", "fn", "f1"))
