@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,14 +103,44 @@ def first_existing(df: DataFrame, candidates: list[Column], files: DataFrame, pa
     return out.withColumn(path, F.coalesce(*[f"{n}_found" for n in names])).where(F.col(path).isNotNull()).drop(*names, *[f"{n}_found" for n in names])
 
 
-def knn_mean(queries: DataFrame, known: DataFrame, key: str, x: str, y: str, value: str, k: int, cell: float) -> DataFrame:
-    """(key, mean, found): the inverse-distance mean of the value of at most k known points within ``cell`` of each query."""
-    b = known.select(F.col(key).alias("_id"), F.col(x).alias("_bx"), F.col(y).alias("_by"), F.col(value).cast("double").alias("_v"))
-    a = queries.select(key, x, y)
-    around = F.explode(F.expr("flatten(transform(array(-1,0,1), i -> transform(array(-1,0,1), j -> struct(i as i, j as j))))"))
-    a = a.withColumn("_o", around).withColumns({"_cx": F.floor(F.col(x) / cell) + F.col("_o.i"), "_cy": F.floor(F.col(y) / cell) + F.col("_o.j")})
-    met = a.join(b.withColumns({"_cx": F.floor(F.col("_bx") / cell), "_cy": F.floor(F.col("_by") / cell)}), ["_cx", "_cy"])
-    met = met.withColumn("_d", F.sqrt(F.pow(F.col(x) - F.col("_bx"), 2) + F.pow(F.col(y) - F.col("_by"), 2))).where(F.col("_d") <= cell)
-    near = met.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_id"))).where(F.col("_n") <= k)
-    w = 1 / F.greatest(F.col("_d"), F.lit(1e-12))
-    return near.groupBy(key).agg(F.round(F.sum(w * F.col("_v")) / F.sum(w), 6).alias("mean"), F.count(F.lit(1)).alias("found"))
+def knn_mean(df: DataFrame, key: str, vector: str, value: str, k: int, block: int = 16_384) -> DataFrame:
+    """(key, mean, found): for each row the inverse-distance mean of the value of its k nearest other rows by whole vector.
+
+    Exact, without a radius: equal distances go by the least key, and neighbours at distance 0 count alone.
+    ``key`` identifies a row. All pairs are formed, but in memory only: every block of rows meets every
+    other in one call that returns k rows for each query, so work and shuffle grow with the square of the
+    rows (the shuffle by the number of blocks). Rows without a vector are left out.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(value).cast("double").alias("y"))
+    n = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = rows.select("id", "v", F.col("_b").alias("i"), every.alias("j"))
+    known = rows.select("id", "v", "y", F.col("_b").alias("j"), every.alias("i"))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": a.id[:0], "d": [], "other": a.id[:0], "y": []})
+        b = b.sort_values("id")
+        va, vb, ids, ys = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), b.id.to_numpy(), b.y.to_numpy(float)
+        na, nb, out = (va * va).sum(1), (vb * vb).sum(1), []
+        top = min(k + 1, len(vb))  # the row itself may be among them
+        for at in range(0, len(va), 256):
+            part, own = va[at : at + 256], a.id.to_numpy()[at : at + 256]
+            d2 = na[at : at + 256, None] + nb - 2 * part @ vb.T
+            cut = np.partition(d2, top - 1, axis=1)[:, top - 1] + 1e-9 * (na[at : at + 256] + nb.max())
+            for q in range(len(part)):
+                # The product rounds; what is near enough by it is measured exactly.
+                near = np.flatnonzero(d2[q] <= cut[q])
+                near = near[ids[near] != own[q]]
+                d = np.sqrt(((vb[near] - part[q]) ** 2).sum(1))
+                for m in np.argsort(d, kind="stable")[:k]:
+                    out.append((own[q], d[m], ids[near[m]], ys[near[m]]))
+        return pd.DataFrame(out, columns=["id", "d", "other", "y"])
+
+    kind = dict(rows.dtypes)["id"]
+    met = asked.groupBy("i", "j").cogroup(known.groupBy("i", "j")).applyInPandas(nearest, f"id {kind}, d double, other {kind}, y double")
+    near = met.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("_n") <= k)
+    same, w = F.when(F.col("d") == 0, 1), F.when(F.col("d") > 0, 1 / F.col("d"))
+    mean = F.when(F.count(same) > 0, F.avg(F.when(F.col("d") == 0, F.col("y")))).otherwise(F.sum(w * F.col("y")) / F.sum(w))
+    return near.groupBy(F.col("id").alias(key)).agg(F.round(mean, 6).alias("mean"), F.count(F.lit(1)).alias("found"))

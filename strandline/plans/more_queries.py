@@ -146,5 +146,4 @@ def sharpness_noise(spark, sf_dir):
 
 @query("knn_regression")
 def knn_regression(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return joins.knn_mean(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "x", "y", "label", 5, 0.25)
+    return joins.knn_mean(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 5)
