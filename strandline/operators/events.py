@@ -1,65 +1,85 @@
-"""Matching of event lists and decoding that depends on its own past; one pandas call per site.
+"""Matching of event lists and decoding that depends on its own past, in pandas calls.
 
-A site's series or events are one group: their number is what a sensor takes at one place, so a
-group fits a task. Everything around the calls (decoding by windows, metrics) stays built-in.
+Events are matched in chains, cut where no match can cross, so a site of any size is many groups.
+Decoding takes one call per site: a site's whole series is one group and must fit a task. Everything around the calls (decoding by windows, metrics) stays built-in.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def match_greedy(truth: np.ndarray, found: np.ndarray, tolerance: float) -> tuple[int, list[float]]:
-    """Each truth event, in order, takes the nearest free found event (the earliest of equals) within the tolerance."""
+    """Each truth event, in order, takes the nearest free found event (the earliest of equals) within the tolerance.
+
+    ``found`` is sorted; only its events about the tolerance are looked at.
+    """
     free, apart = np.ones(len(found), bool), []
-    for t in truth:
-        d = np.where(free, np.abs(found - t), np.inf)
+    low, high = np.searchsorted(found, truth - tolerance - 1), np.searchsorted(found, truth + tolerance + 1, side="right")
+    for t, a, b in zip(truth, low, high, strict=True):
+        d = np.where(free[a:b], np.abs(found[a:b] - t), np.inf)
         k = int(d.argmin()) if len(d) else 0
         if len(d) and d[k] <= tolerance:
-            free[k] = False
+            free[a + k] = False
             apart.append(float(d[k]))
     return len(apart), apart
 
 
 def match_optimal(truth: np.ndarray, found: np.ndarray, tolerance: float) -> tuple[int, float]:
-    """Most pairs within the tolerance, then the least total distance; pairs never need to cross on a line."""
-    best = [(0, 0.0)] * (len(found) + 1)
-    for t in truth:
-        now = [best[0]]
-        for j, f in enumerate(found, 1):
-            top = max(best[j], now[j - 1])
-            d = abs(t - f)
+    """Most pairs within the tolerance, then the least total distance; pairs never need to cross on a line.
+
+    Both sides are sorted, so each truth event changes the table only about the tolerance; beyond that it is constant.
+    """
+    best = [(0, 0.0)]
+    low, high = np.searchsorted(found, truth - tolerance - 1), np.searchsorted(found, truth + tolerance + 1, side="right")
+    for t, a, b in zip(truth, low, high, strict=True):
+        best += [best[-1]] * (b + 1 - len(best))
+        before = best[a]
+        for j in range(a + 1, b + 1):
+            here, d = best[j], abs(t - found[j - 1])
+            top = max(here, best[j - 1])
             if d <= tolerance:
-                pairs, cost = best[j - 1]
+                pairs, cost = before
                 top = max(top, (pairs + 1, cost - d))
-            now.append(top)
-        best = now
+            best[j], before = top, here
     return best[-1][0], -best[-1][1]
 
 
 def match_events(truth: DataFrame, found: DataFrame, tolerance_us: int, optimal: bool = False, key: str = "site") -> DataFrame:
-    """Per key: tp, fp, fn and mae_days (null without pairs) of events (key, event_us, new_state), by direction."""
+    """Per key: tp, fp, fn and mae_days (null without pairs) of events (key, event_us, new_state), by direction.
+
+    The events of both sides in one direction are cut into chains where consecutive ones are further
+    apart than the tolerance: no match crosses a cut. A pandas call takes up to 64 chains of a key.
+    """
 
-    def per_key(k: tuple, gt: pd.DataFrame, pr: pd.DataFrame) -> pd.DataFrame:
-        tp, total = 0, 0.0
-        for state in (0, 1):
-            a = np.sort(gt.event_us[gt.new_state == state].to_numpy("int64")) / 1e6
-            b = np.sort(pr.event_us[pr.new_state == state].to_numpy("int64")) / 1e6
+    def per_part(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        tp, total = 0, 0
+        for _, c in g.groupby("_chain"):
+            a = np.sort(c.event_us[c._truth].to_numpy("int64")) / 1e6
+            b = np.sort(c.event_us[~c._truth].to_numpy("int64")) / 1e6
+            if not len(a) or not len(b):
+                continue
             if optimal:
                 n, cost = match_optimal(a, b, tolerance_us / 1e6)
             else:
                 n, apart = match_greedy(a, b, tolerance_us / 1e6)
                 cost = sum(np.floor(apart))
-            tp, total = tp + n, total + cost
-        mae = total / tp / 86400 if tp else None
-        return pd.DataFrame({key: [k[0]], "tp": [tp], "fp": [len(pr) - tp], "fn": [len(gt) - tp], "mae_days": pd.array([mae], "Float64")})
+            tp, total = tp + n, total + round(cost * 1e6)
+        n = int(g._truth.sum())
+        return pd.DataFrame({key: [k[0]], "tp": [tp], "fp": [len(g) - n - tp], "fn": [n - tp], "us": [total]})
 
     kind = dict(truth.dtypes)[key]
     cols = [key, "event_us", "new_state"]
-    return truth.select(cols).groupBy(key).cogroup(found.select(cols).groupBy(key)).applyInPandas(per_key, f"{key} {kind}, tp bigint, fp bigint, fn bigint, mae_days double")
+    both = truth.select(*cols, F.lit(True).alias("_truth")).unionByName(found.select(*cols, F.lit(False).alias("_truth")))
+    w = Window.partitionBy(key, "new_state").orderBy("event_us")
+    both = both.withColumn("_cut", F.when(F.col("event_us") - F.lag("event_us").over(w) <= tolerance_us, 0).otherwise(1))
+    both = both.withColumn("_chain", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_part", F.floor(F.col("_chain") / 64))
+    parts = both.select(*cols, "_truth", "_chain", "_part").groupBy(key, "new_state", "_part").applyInPandas(per_part, f"{key} {kind}, tp bigint, fp bigint, fn bigint, us bigint")
+    sums = parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "us")])
+    return sums.select(key, "tp", "fp", "fn", F.when(F.col("tp") > 0, F.col("us") / 1e6 / F.col("tp") / 86400).alias("mae_days"))
 
 
 def of_every(matched: DataFrame, keys: DataFrame, key: str = "site") -> DataFrame:

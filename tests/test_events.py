@@ -73,3 +73,54 @@ def test_leave_one_out_counts_every_site(spark, quiet):
         mean = {k: round(sum(v[3] for x, v in scores[k].items() if x != s) / (len(sites) - 1), 12) for k in scores}
         best = max(scores, key=lambda k: (mean[k], -k))
         assert got[s] == (best, *scores[best][s][:3])
+
+
+def whole_table(truth, found, tolerance):
+    """The optimal match over the full table of both lists."""
+    best = [(0, 0.0)] * (len(found) + 1)
+    for t in truth:
+        now = [best[0]]
+        for j, f in enumerate(found, 1):
+            pair = (best[j - 1][0] + 1, best[j - 1][1] - abs(t - f)) if abs(t - f) <= tolerance else (0, 0.0)
+            now.append(max(best[j], now[j - 1], pair))
+        best = now
+    return best[-1][0], -best[-1][1]
+
+
+def test_matching_in_chains(spark):
+    r, tol = random.Random(6), 10.0
+    sides = [[(7, r.randrange(20_000) * 1_000_000, r.randrange(2)) for _ in range(3000)] for _ in range(2)]
+    truth, found = (spark.createDataFrame(x, "site long, event_us long, new_state int") for x in sides)
+    want = {True: [0, 0.0], False: [0, 0.0]}
+    for state in (0, 1):
+        a, b = (sorted(t / 1e6 for _, t, s in x if s == state) for x in sides)
+        n, cost = whole_table(a, b, tol)
+        want[True] = [want[True][0] + n, want[True][1] + cost]
+        free = list(b)
+        for t in a:
+            d = min(((abs(f - t), f) for f in free), default=(99, 0))
+            if d[0] <= tol:
+                free.remove(d[1])
+                want[False] = [want[False][0] + 1, want[False][1] + d[0]]
+    for optimal, (tp, total) in want.items():
+        got = events.match_events(truth, found, int(tol * 1e6), optimal).first()
+        assert (got.tp, got.fp, got.fn) == (tp, 3000 - tp, 3000 - tp)
+        assert abs(got.mae_days - total / tp / 86400) < 1e-9
+
+
+def test_a_large_site_is_many_groups(spark):
+    """The groups that reach Python hold a part of a site's events: their number grows with the events."""
+    rows = [(7, i * 1_000_000_000, i % 2) for i in range(4000)]
+    df = spark.createDataFrame(rows, "site long, event_us long, new_state int")
+    sizes = []
+    real = type(df.groupBy("site")).applyInPandas
+
+    def counted(self, f, schema):
+        sizes.extend(r[0] for r in self.count().select("count").collect())
+        return real(self, f, schema)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df.groupBy("site")), "applyInPandas", counted)
+        got = events.match_events(df, df, 1_000_000).first()
+    assert (got.tp, got.fp, got.fn) == (4000, 0, 0)
+    assert sizes and max(sizes) <= 128
