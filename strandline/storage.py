@@ -1,15 +1,74 @@
-"""Writing intermediate results to the cluster's shared folder."""
+"""Intermediate results in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Removes an action's shuffle files as soon as it has ended, instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, local mode gets a temporary one; a cluster must name one."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandline-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Actions inside leave no shuffle files behind; what they return must not depend on them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
-    return df.checkpoint(eager=True)
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables written to a folder of their own under the shared folder, so that each can be removed when it is done with."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/{uuid.uuid4()}", {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """df written once and read back, without its lineage."""
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        with tidy(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that no later step reads."""
+        for t in tables:
+            path, _ = self.paths.pop(id(t))
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def clear(self, but: DataFrame) -> None:
+        """Remove all tables but the one that is returned."""
+        self.drop(*[t for _, t in list(self.paths.values()) if t is not but])
