@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.storage import materialise as checkpointed
+from strandline.storage import materialise  # noqa: F401 (operators take it from here)
 
 #: ASCII white space, the only characters that separate words here.
 SPACE = " \t\n\x0b\x0c\r"
@@ -25,16 +25,6 @@ def slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
             yield batch.slice(at, rows)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the cluster's shared checkpoint folder and cut its lineage.
-
-    Shuffle files of earlier steps go when the driver collects what refers to them, so it is asked to
-    before each step: a chain of steps then needs the disk of its largest ones only.
-    """
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return checkpointed(df)
-
-
 def only(df: DataFrame, verdict: Column, columns: list[str]) -> DataFrame:
     """The rows whose verdict is true. The verdict is computed once, where it stands.
 

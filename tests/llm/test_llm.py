@@ -197,6 +197,36 @@ def test_ngram_join_edges(spark, docs, empty, texts):
     assert kept.columns == docs.columns and {6, 8, 9, 10} & {r.doc_id for r in kept.collect()} == {6}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids, copies without an id and copies of different ids."""
+    other = prose(80)
+    rows = [(1, BASE, "b"), (1, BASE, "b"), (1, other, "a"), (2, BASE + " more", "c"), (None, BASE, "d"), (None, other + " x", "e"), (None, other + " x", "f"), (None, None, "g"), (None, " ", "h"), (5, None, "i"), (5, None, "j"), (6, "one", "k")]
+    got = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string, n1 string")).collect()
+    assert sorted((r.doc_id or 0, r.n1) for r in got if r.doc_id in (1, 6)) == [(1, "a" if other < BASE else "b"), (6, "k")]
+    assert sum(r.doc_id == 5 for r in got) == 1 and not [r for r in got if r.doc_id == 2]
+    assert sorted(r.n1 for r in got if r.doc_id is None) in (["e", "g", "h"], ["f", "g", "h"])
+
+
+def test_templates_and_hot_tokens(spark, monkeypatch):
+    """Long texts made of shared passages, and a line that every text has: no explosion of combinations, no lost link."""
+    monkeypatch.setattr(ngram_join, "PAIRS_ABOVE", 30)
+    monkeypatch.setattr(ngram_join, "TRIPLES_ABOVE", 500)
+    r = random.Random(12)
+    blocks = [" ".join(f"t{r.randrange(10**6)}" for _ in range(500)) for _ in range(60)]
+    rows = []
+    for i in range(40):
+        t = blocks[:34] + r.sample(blocks[34:], 6)
+        rows.append((i, " ".join(t)))
+    line = " ".join(f"h{j}" for j in range(12))
+    for i in range(40, 240):
+        own = [f"w{r.randrange(40)}" for _ in range(r.choice([3, 6, 20]))]
+        rows.append((i, " ".join([line, *own])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, num in ((3, 90), (5, 80)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.join(docs, k, num, 100).collect()}
+        assert got == brute(rows, k, num, 100)
+
+
 # 6: packing
 
 
