@@ -9,8 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Removes an action's shuffle files as soon as it has ended, instead of when the driver collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For actions whose result is written: shuffle files go as soon as the action has ended, instead of when the driver
+#: collects garbage, and small partitions are joined to the advisory size, so that small tables are few files.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,15 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Actions inside leave no shuffle files behind; what they return must not depend on them."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in TIDY}
+    for k, v in TIDY.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def materialise(df: DataFrame) -> DataFrame:
