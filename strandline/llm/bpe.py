@@ -7,6 +7,7 @@ the regular expression in one piece and words that come again are encoded once p
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +35,15 @@ def load(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(string, id) of the added tokens of a tokenizers file; only plain ones, which match anywhere as they stand."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens with matching options are not supported")
+    return tuple((t["content"], t["id"]) for t in added)
+
+
 def safe_pieces(text: str, size: int = 1 << 15) -> Iterator[str]:
     """Consecutive pieces of about ``size`` characters, each match of the pattern inside one of them.
 
@@ -50,15 +60,25 @@ def safe_pieces(text: str, size: int = 1 << 15) -> Iterator[str]:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers; remembers at most ``words`` short words."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers; remembers at most ``words`` short words.
 
-    def __init__(self, path: str, pattern: str, words: int = 200_000):
+    Strings of ``special`` tokens get their ids, the longest first, and what is between them is encoded by itself.
+    """
+
+    def __init__(self, path: str, pattern: str, words: int = 200_000, special: tuple[tuple[str, int], ...] = ()):
         self.encoding, self.words, self.known = load(path, pattern), words, {}
+        self.special = {s: pack("<I", i) for s, i in special}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if special else None
 
     def _plain(self, text: str) -> bytes:
         return b"".join(np.array(self.encoding.encode_ordinary(x), "<u4").tobytes() for x in safe_pieces(text))
 
     def encode(self, text: str) -> bytes:
+        if self.cuts is None or not self.cuts.search(text):
+            return self._ordinary(text)
+        return b"".join(self.special.get(x) or self._ordinary(x) for x in self.cuts.split(text))
+
+    def _ordinary(self, text: str) -> bytes:
         if _RAGGED.search(text):
             return self._plain(text)
         known, out = self.known, []
@@ -81,8 +101,8 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()) -> Encoder:
+    return Encoder(path, pattern, special=special)
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:

@@ -64,9 +64,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place; null text is empty, repeated rows get places of their own."""
     # The rank file holds the vocabulary of byte_bpe_50k.json; tests hold the ids against the tokenizers library.
     path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), path, pattern)
+    special = bpe.special_tokens(_vocabulary("byte_bpe_50k.json")[0])
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), path, pattern, special=special)
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
 
 
