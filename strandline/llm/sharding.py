@@ -23,40 +23,47 @@ def size_of(text: Column) -> Column:
 def assign(rows: DataFrame, order: list[str], size: str = "size", shards: int = 40, ranges: int | None = None) -> DataFrame:
     """``rows`` with ``shard`` (0 to shards-1) and ``slot`` (0, 1, ... within the shard).
 
-    Rows are taken in the order of ``order`` (nulls first, repeated rows next to each other); a row
-    belongs to the shard in which the middle of its bytes falls, so a shard misses its target by less
-    than one row. Columns named like the outputs are replaced; an empty table stays empty. A shard is
-    empty where a single row is larger than the target.
+    Rows are taken in the order of ``order`` (nulls first, repeated rows next to each other, of any
+    number); a row belongs to the shard in which the middle of its bytes falls, so a shard misses its
+    target by less than one row. Columns named like the outputs are replaced, all others carried as
+    they are; an empty table stays empty. A shard is empty where a single row is larger than the target.
     """
     spark = rows.sparkSession
     n = ranges or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    rows = rows.drop("shard", "slot")
-    dealt = materialise(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
-    # One row for each range: bounded by their number, whatever the input.
-    totals = dealt.groupBy("_range").agg(F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    # The serial number lets ranges cut through equal rows; it is written down before it is used again.
+    key = F.struct(*order, F.monotonically_increasing_id().alias("_serial"))
+    keyed = rows.select(F.struct(*kept).alias("row"), key.alias("key"), F.col(size).alias("bytes"))
+    dealt = materialise(keyed.repartitionByRange(n, "key").withColumn("range", F.spark_partition_id()))
+    # One row for each range: bounded by their number, whatever the input; so is what is broadcast of them.
+    totals = dealt.groupBy("range").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        "_range",
-        F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)).alias("_bytes_before"),
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
-        F.sum("_bytes").over(Window.partitionBy()).alias("_all"),
+        "range",
+        F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"),
+        F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"),
+        F.sum("bytes").over(Window.partitionBy()).alias("all"),
     )
-    inside = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    inside = Window.partitionBy("range").orderBy("key")
     sums = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        dealt.withColumns({"_sum": F.sum(size).over(sums), "_row": F.row_number().over(inside) - 1})
-        .join(F.broadcast(starts), "_range")
-        .withColumn("_twice_middle", 2 * (F.col("_bytes_before") + F.col("_sum")) - F.col(size))
-        .withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"cast(_twice_middle * {shards} div (2 * _all) as int)")))
-        .withColumn("_index", F.col("_rows_before") + F.col("_row"))
+        dealt.withColumns({"sum": F.sum("bytes").over(sums), "number": F.row_number().over(inside) - 1})
+        .join(F.broadcast(starts), "range")
+        .withColumn("twice_middle", 2 * (F.col("bytes_before") + F.col("sum")) - F.col("bytes"))
+        .withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"cast(twice_middle * {shards} div (2 * all) as int)")))
+        .withColumn("place", F.col("rows_before") + F.col("number"))
     )
-    firsts = placed.groupBy("shard").agg(F.min("_index").alias("_first"))
-    out = placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_index") - F.col("_first"))
-    return out.select(*rows.columns, "shard", "slot")
+    firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # one row for each shard
+    out = placed.join(F.broadcast(firsts), "shard")
+    return out.select("row.*", "shard", (F.col("place") - F.col("first")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every document."""
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"))
-    return assign(rows, ["doc_id", "text_crc32", "size"], shards=shards)
+    """doc_id, size, text_crc32, shard and slot of every document.
+
+    Documents are taken by a hash of their text, so equal texts are next to each other: in one shard,
+    or in neighbouring ones where a cut falls among them. A null text has no bytes and counts as empty.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    return assign(rows, ["text_hash", "text_crc32", "size", "doc_id"], shards=shards).drop("text_hash")
