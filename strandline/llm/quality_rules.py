@@ -92,7 +92,7 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray, names: list[str]) -> tupl
 def learn(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.97, min_cover: int = 3, grid: int = 48) -> list[Rule]:
     """The decision list for rows marked bad; empty where there is too little to learn from."""
     rules: list[Rule] = []
-    turn = np.arange(len(x)) % 3 == 2  # every third row prunes; the sample comes in hash order
+    turn = np.arange(len(x)) % 3 == 2  # every third row prunes; the sample comes in the order of the texts' hashes
     open_ = np.ones(len(x), bool)
     for _ in range(max_rules):
         grow, prune = open_ & ~turn, open_ & turn
@@ -121,11 +121,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, max_chars: int =
 
     Empty tables, or labels of one class only, give an empty list.
     """
-    sample = with_stats(labelled_sample(docs, labels, "quality", rows, max_chars), keep=["y"])
-    got = sample.select("y", *[F.col(f"stats.{c}") for c in RATIOS]).collect()
+    sample = with_stats(labelled_sample(docs, labels, "quality", rows, max_chars), keep=["hash", "y"])
+    got = sorted(sample.select("hash", "y", *[F.col(f"stats.{c}") for c in RATIOS]).collect())  # the same for any layout of the files
     if not got:
         return []
-    data = np.array([tuple(r) for r in got], float)
+    data = np.array([tuple(r)[1:] for r in got], float)
     return learn(data[:, 1:], data[:, 0] == 0, RATIOS, **options)
 
 

@@ -184,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 6_000, max_chars: int =
     Empty tables, or labels of one class only, give a model that scores every text 0.5.
     """
     got = labelled_sample(docs, labels, "toxic", rows, max_chars, per_class=True).collect()
-    got.sort(key=lambda r: (zlib.crc32(r.text.encode()), r.text))
-    return learn([r.text for r in got], np.array([r.y == 1 for r in got], bool))
+    got.sort(key=lambda r: (r.hash, r.text, r.y))
+    return learn([r.text for r in got], np.array([r.y == 1 for r in got], bool), **options)
 
 
 def score(text: Column, model: Model) -> Column:
