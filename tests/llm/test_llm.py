@@ -1,6 +1,6 @@
 """The ten operators against brute force on small tables with nulls, blanks, ties, copies and long texts."""
 
-import hashlib
+import bisect
 import random
 import re
 import zlib
@@ -71,9 +71,10 @@ def test_safe_pieces_never_change_ids():
 
 def test_rank_file_equals_tokenizers_library(texts):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    e = bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    for _, x in texts:
+    e = bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, bpe.special_tokens(P.path("byte_bpe_50k.json")))
+    marks = ["x <|endoftext|> y", "<|endoftext|><|endoftext|>", " <|endoftext|>\n a", "<|endoftext", "a<|endoftext|>'s  b"]
+    assert np.frombuffer(e.encode(marks[0]), "<u4").tolist() == [87, 220, 50256, 331]
+    for _, x in [*texts, *((None, m) for m in marks)]:
         assert np.frombuffer(e.encode(x or ""), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -125,8 +126,9 @@ def test_shards(docs, empty):
     by = defaultdict(list)
     for r in rows:
         by[r.shard].append(r)
-    order = [(-1 if r.doc_id is None else r.doc_id) for k in sorted(by) for r in sorted(by[k], key=lambda r: r.slot)]
-    assert order == sorted(order)
+    # Equal texts are next to each other.
+    order = [r.text_crc32 for k in sorted(by) for r in sorted(by[k], key=lambda r: r.slot)]
+    assert sum(a != b for a, b in zip(order, order[1:])) == len(set(order)) - 1
     for k, got in by.items():
         assert sorted(r.slot for r in got) == list(range(len(got)))
     total, most = sum(r.size for r in rows), max(r.size for r in rows)
@@ -136,6 +138,31 @@ def test_shards(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_shards_of_equal_rows_and_clashing_columns(spark):
+    names = ["row", "key", "bytes", "range", "all", "sum", "number", "first", "place", "rows", "_range", "_sum"]
+    rows = spark.createDataFrame([(1, 10, *range(len(names)))] * 3000, ["id", "size", *names])
+    got = sharding.assign(rows, ["id"], shards=10).collect()
+    assert all(tuple(r)[2:-2] == tuple(range(len(names))) for r in got)
+    for k in range(10):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(300))
+
+
+def test_a_sample_takes_an_id_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(5000)] + [(i, f"other {i}") for i in range(2, 40)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(1, 1)] * 3, "doc_id long, quality int")
+    got = common.labelled_sample(docs, labels, "quality", 1000, 1000).collect()
+    assert len(got) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 40)) and len({r.text for r in got}) == len(got)
+    assert common.labelled_sample(docs, labels, "quality", 10, 1000).count() == 10
+
+
+def test_models_do_not_depend_on_the_layout_of_files(spark):
+    d, labels, _ = labelled(spark, 400)
+    other = d.repartition(7, "text").sortWithinPartitions(F.desc("text")), labels.repartition(5).orderBy(F.desc("doc_id"))
+    assert quality.fit(d, labels) == quality.fit(*other) and quality_rules.fit(d, labels) == quality_rules.fit(*other)
+    a, b = toxicity.fit(d, labels, epochs=2), toxicity.fit(*other, epochs=2)
+    assert (a.table == b.table).all() and (a.out == b.out).all() and a.cuts == b.cuts
+
+
 # 5: near copies
 
 
@@ -239,15 +266,43 @@ def check_plan(counts, chosen):
     assert (got == counts).all()
 
 
+def best_fit(counts):
+    """Plain best-fit by decreasing length, one at a time."""
+    top, rooms = len(counts) - 1, []
+    for length in range(top, 0, -1):
+        for _ in range(counts[length]):
+            at = bisect.bisect_left(rooms, length)
+            free = rooms.pop(at) if at < len(rooms) else top
+            bisect.insort(rooms, free - length)
+    return len(rooms)
+
+
 def test_configurations_cover_and_stay_near_the_bound():
     r = np.random.default_rng(3)
     for n in (0, 1, 7, 300, 20_000):
         lengths = np.minimum(256, r.lognormal(4, 1, n).astype(int) + 1)
         counts = np.bincount(lengths, minlength=257)
-        chosen, bound = packing.configurations(counts, rounds=15)
+        chosen, bound = packing.configurations(counts)
         check_plan(counts, chosen)
         used = sum(m for _, m in chosen)
-        assert bound - 1e-6 <= used <= 1.02 * bound + 2
+        assert bound - 1e-6 <= used <= 1.01 * bound + 2 and used <= 1.002 * best_fit(counts) + 1
+
+
+def test_the_program_is_solved_and_makes_most_sequences():
+    r = np.random.default_rng(4)
+    for n, scale in ((1200, 1), (5000, 1), (5000, 40)):
+        counts = np.bincount(np.minimum(2048, r.lognormal(6, 1, n).astype(int) + 1), minlength=2049) * scale
+        plan, bound = packing.solve(counts)
+        covered = np.zeros(2049)
+        for config, amount in plan.items():
+            assert amount > 0 and sum(a * b for a, b in config) <= 2048
+            for a, b in config:
+                covered[a] += amount * b
+        assert (covered >= counts - 1e-6).all() and sum(plan.values()) <= 1.01 * bound
+        for part in (1.0, 0.9):
+            chosen, opened = packing.rounded(plan, counts, part)
+            check_plan(counts, chosen)
+            assert opened >= 0.9 * part * sum(m for _, m in chosen)
 
 
 def test_knapsack_by_brute_force():
@@ -261,6 +316,13 @@ def test_knapsack_by_brute_force():
         assert np.allclose(best, want)
 
 
+def test_packing_carries_columns_named_like_its_own(spark):
+    names = ["row", "key", "bucket", "rank", "block", "first", "last", "copies", "sequence", "at", "before", "_rank", "offset"]
+    items = spark.createDataFrame([(i, 1 + i % 50, *([i] * len(names))) for i in range(200)] * 2, ["id", "length", *names])
+    got = packing.pack(items.withColumn("length", F.col("length").cast("int")), ["id"], 64).collect()
+    assert len(got) == 400 and all(r[n] == r.id for r in got for n in names if n != "offset")
+
+
 def test_packing(spark, docs, empty, texts):
     path = P.path("byte_bpe_50k.tiktoken")
     rows = packing.pack_documents(docs, path, P.PATTERN, capacity=64).collect()
@@ -340,32 +402,41 @@ def test_pii_model_and_redaction(spark, docs, empty):
 
 
 def luhn_16(r):
-    d = [r.randrange(1, 10) for _ in range(15)]
+    d = [4, *(r.randrange(1, 10) for _ in range(14))]
     total = sum(2 * v - 9 * (2 * v > 9) if i % 2 == 0 else v for i, v in enumerate(d))
     return "".join(map(str, [*d, -total % 10]))
 
 
 def test_pii_finds_planted_loose_spans(spark):
+    """Recall over the base spans rises, at a precision of 0.95 or more, on texts that the fit hasn't seen."""
     r = random.Random(11)
     dial = lambda: f"({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"
     quad = lambda: ".".join(str(r.randrange(1, 255)) for _ in range(4))
+    plain = lambda: f"{r.choice('056789')}{r.randrange(10**14, 10**15)}"
     rows = []
     for i in range(400):
-        card = luhn_16(r)
-        wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
-        rows += [f"alpha u{i}@mail.example.com beta", f"alpha +1 {dial()} beta", f"alpha {quad()} beta", f"alpha {card} beta", f"alpha {wrong} beta", f"order {i + 2000} {i + 1000} beta"]
+        rows += [f"alpha u{i}@mail.example.com beta", f"alpha +1 {dial()} beta", f"alpha {quad()} beta", f"alpha {luhn_16(r)} beta", f"alpha {plain()} beta", f"order {i + 2000} {i + 1000} beta"]
     # Two hundred copies of a document with a loose form: what is not a base span is no negative for that.
     rows += ["alpha someone [at] mail.example.com beta 4111.1111.1111.1111 beta"] * 200
     model = pii.fit(spark.createDataFrame([(t,) for t in rows], "text string"), least=10)
-    assert set(model.forests) == set(pii.KINDS)
-    card = luhn_16(r)
-    loose = [("email", "someone [at] mail.example.com"), ("phone", dial()), ("ip", quad().replace(".", ". ")), ("card", ".".join(card[k : k + 4] for k in range(0, 16, 4)))]
-    for kind, span in loose:
-        text = f"alpha {span} beta"
-        got = pii.detect(spark.createDataFrame([(text,)], "text string"), model).select(pii.listed(F.col("base")), pii.listed(F.col("spans"))).first()
-        assert got[0] == "" and f"{kind}:6:{6 + len(span)}" in got[1].split(","), (kind, span, got)
-    for text in ["on 2024-01-02 10 beta", "version 1234 5678 901 beta", "alpha someone@mail beta", "alpha 4111.1111.1111.1112 beta"]:
-        assert pii.detect(spark.createDataFrame([(text,)], "text string"), model).select(pii.listed(F.col("spans"))).first()[0] == "", text
+    assert set(model.forests) == set(pii.KINDS) and "checked" not in pii.FEATURES
+    planted, clean = [], []
+    for i in range(50):
+        card = luhn_16(r)
+        planted += [("email", f"some.one{i} [at] mail.example.com"), ("email", f"u{i}(at)mail.example.com"), ("phone", dial()), ("ip", quad().replace(".", ". ")), ("card", ".".join(card[k : k + 4] for k in range(0, 16, 4)))]
+        clean += [f"on 2024-01-{10 + i % 20} 10 beta", f"version 1234 5678 9{i:02d} beta", f"alpha some{i}@mail beta", f"alpha {card[:-1]}{(int(card[-1]) + 1) % 10} beta", f"order no {plain()} beta", f"alpha {i} of {2 * i} beta"]
+    texts = [(f"alpha {span} beta", f"{kind}:6:{6 + len(span)}") for kind, span in planted] + [(t, None) for t in clean]
+    got = pii.detect(spark.createDataFrame(texts, "text string, want string"), model).select("text", "want", pii.listed(F.col("base")).alias("base"), pii.listed(F.col("spans")).alias("spans")).collect()
+    assert all(x.base == "" for x in got if x.want)
+    hits = sum(x.want in x.spans.split(",") for x in got if x.want)
+    false = [x for x in got if not x.want and x.spans and x.spans != x.base]
+    assert hits >= 0.95 * len(planted) and len(false) <= 0.05 * hits, (hits, false[:3], [x for x in got if x.want and x.want not in x.spans.split(",")][:5])
+
+
+def test_pii_carries_columns_named_like_its_own(spark):
+    rows = spark.createDataFrame([(1, "write a@b.cd", 7, 8, 9, 10)], "doc_id long, text string, c int, t int, b int, row int")
+    model = pii.Model({"email": boosting.Forest(9.0, ())}, {"email": 0.0})
+    assert [tuple(x)[:6] for x in pii.detect(rows, model).collect()] == [(1, "write a@b.cd", 7, 8, 9, 10)]
 
 
 def test_boosting_column_equals_numpy(spark):
@@ -503,7 +574,3 @@ def test_ties_keep_the_earlier_start():
     c = token_counts.Counter([("▁", -1.0), ("a", -2.0), ("b", -2.0), ("ab", -4.0), ("c", -1.0), ("bc", -3.0)])
     assert c.count("ab") == (2, -5.0)  # one piece of the same score began first
     assert c.count("abc") == (3, -6.0) and c.count("z") == (2, -1.0 + c.unknown)
-
-
-def test_digests():
-    assert hashlib.sha256(b"1,2").hexdigest() == hashlib.sha256(",".join(map(str, [1, 2])).encode()).hexdigest()
