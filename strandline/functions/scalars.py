@@ -45,6 +45,18 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def softmax(a: Column) -> Column:
+    """The array's exponentials over their sum, less the maximum first."""
+    top = F.array_max(a)
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return F.flatten(F.transform(F.array(total), lambda t: F.transform(a, lambda x: F.exp(x - top) / t)))
+
+
+def argmax(a: Column) -> Column:
+    """Position from 0 of the largest element, the first of equals."""
+    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+
+
 def normalised_difference(a: Column, b: Column) -> Column:
     return (a - b) / F.greatest(a + b, F.lit(1.0))
 
@@ -73,8 +85,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column, eps: float = 1e-8) -> Column:
-    """The vector over its length (plus eps), as doubles."""
-    return F.transform(a, lambda x: x.cast("double") / (F.sqrt(dot(a, a)) + eps))
+    """The vector over its length (plus eps), as doubles. The length is computed once a vector."""
+    length = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"), lambda s: F.sqrt(s) + eps)
+    return F.flatten(F.transform(F.array(length), lambda n: F.transform(a, lambda x: x.cast("double") / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -85,3 +98,13 @@ def snapped(west: Column, south: Column, east: Column, north: Column, cell: floa
     """The box grown outwards to the grid of the given cell size."""
     down, up = (lambda c: F.floor(c / cell) * cell), (lambda c: F.ceil(c / cell) * cell)
     return [down(west).alias("west"), down(south).alias("south"), up(east).alias("east"), up(north).alias("north")]
+
+
+def inverted(m: Column) -> Column:
+    """The map from each element of the values, which are arrays, to its key; elements must be distinct."""
+    return F.map_from_entries(F.flatten(F.transform(F.map_entries(m), lambda e: F.transform(e["value"], lambda v: F.struct(v.alias("key"), e["key"].alias("value"))))))
+
+
+def plain_spaces(text: Column) -> Column:
+    """Without zero-width spaces, narrow no-break spaces as plain ones, and trimmed."""
+    return F.trim(F.translate(F.replace(text, F.lit("\u200b"), F.lit("")), "\u202f", " "))

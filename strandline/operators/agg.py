@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.scalars import missing
+from strandline.storage import materialise
+
 
 def monthly_counts(df: DataFrame, key: str, ts: str) -> DataFrame:
     """(key, month, n) for every month from a key's first to its last, zero where nothing was."""
@@ -54,11 +59,51 @@ def histogram_floor(hist: DataFrame, key: str, least: int) -> DataFrame:
     return hist.withColumn("cnt", F.floor(F.col("cnt") / unit))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], slices: int = 64) -> DataFrame:
+    """df with ``rank`` (from 1) and ``total`` (rows) within its keys, by ascending order, which should be total.
+
+    Rows are dealt to ranges of keys and order and written once; ranks within a range are lifted by the
+    ranges before it, so a key that holds most rows is still many tasks.
+    """
+    k, o = [f"k{i}" for i in range(len(keys))], [f"o{i}" for i in range(len(order))]
+    named = [F.col(x).alias(n) for x, n in zip(keys, k, strict=True)] + [x.alias(n) for x, n in zip(order, o, strict=True)]
+    dealt = materialise(df.select(F.struct(*df.columns).alias("row"), *named).repartitionByRange(slices, *k, *o).withColumn("part", F.spark_partition_id()))
+    per = dealt.groupBy(*k, "part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range, and one more for each key
+    w = Window.partitionBy(*k)
+    lifts = per.select(*k, "part", (F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(w).alias("total"))
+    numbered = dealt.withColumn("inside", F.row_number().over(Window.partitionBy("part", *k).orderBy(*o)))
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ["part", *k]])
+    return numbered.alias("a").join(lifts.alias("b"), same).select("a.row.*", (F.col("b.before") + F.col("a.inside")).alias("rank"), F.col("b.total").alias("total"))
+
+
+def quantiles(df: DataFrame, key: str, value: str, q: list[float], slices: int = 64) -> DataFrame:
+    """(key, q0, q1, ...): exact quantiles, linear between neighbours; null and NaN values don't count.
+
+    Values are counted first, and running counts taken over ranges of (key, value) lifted by their totals:
+    no task holds a key's values, however many rows or distinct values it has.
+    """
+    v = missing(F.col(value).cast("double"))
+    counts = df.select(F.col(key).alias("k"), v.alias("v")).where("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    dealt = materialise(counts.repartitionByRange(slices, "k", "v").withColumn("part", F.spark_partition_id()))
+    w = Window.partitionBy("k")
+    lifts = dealt.groupBy("k", "part").agg(F.sum("n").alias("_n")).select("k", "part", (F.sum("_n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("before"), F.sum("_n").over(w).alias("total"))
+    run = F.sum("n").over(Window.partitionBy("part", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    upto = dealt.withColumn("run", run).alias("a").join(lifts.alias("b"), (F.col("a.part") == F.col("b.part")) & F.col("a.k").eqNullSafe(F.col("b.k"))).select("a.k", "v", "n", (F.col("before") + F.col("run")).alias("run"), "total")
+    out = []
+    for i, x in enumerate(q):
+        at = F.lit(x) * (F.col("total") - 1)
+        covers = lambda p: F.max(F.when((F.col("run") - F.col("n") <= p) & (p < F.col("run")), F.col("v")))
+        low, high = covers(F.floor(at)), covers(F.ceil(at))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(f"q{i}"))
+    return upto.groupBy("k").agg(*out).withColumnRenamed("k", key)
+
+
 def mad_sigma(df: DataFrame, key: str, value: str) -> DataFrame:
-    """1.4826 times the median absolute deviation from the median."""
-    med = df.groupBy(key).agg(F.median(value).alias("_m"))
-    apart = df.join(med, key).select(key, F.abs(F.col(value) - F.col("_m")).alias("_d"))
-    return apart.groupBy(key).agg((1.4826 * F.median("_d")).alias("sigma"))
+    """1.4826 times the median absolute deviation from the median; null and NaN values don't count."""
+    med = quantiles(df, key, value, [0.5]).select(F.col(key).alias("_k"), F.col("q0").alias("_m"))
+    apart = df.join(med, F.col(key).eqNullSafe(F.col("_k"))).select(key, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    return quantiles(apart, key, "_d", [0.5]).select(key, (1.4826 * F.col("q0")).alias("sigma"))
 
 
 def usable_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

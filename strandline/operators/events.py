@@ -1,7 +1,7 @@
 """Matching of event lists and decoding that depends on its own past, in pandas calls.
 
-Events are matched in chains, cut where no match can cross, so a site of any size is many groups.
-Decoding takes one call per site: a site's whole series is one group and must fit a task. Everything around the calls (decoding by windows, metrics) stays built-in.
+Events are matched in chains, cut where no match can cross, and series decoded in chunks of samples,
+so a site of any size is many groups. Everything around the calls (windows, metrics) stays built-in.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.scalars import missing
+from strandline.operators import series
+
 
 def match_greedy(truth: np.ndarray, found: np.ndarray, tolerance: float) -> tuple[int, list[float]]:
     """Each truth event, in order, takes the nearest free found event (the earliest of equals) within the tolerance.
@@ -104,41 +107,140 @@ def macro_micro(per_key: DataFrame) -> DataFrame:
     return micro.select("tp", "fp", "fn", "macro_precision", "macro_recall", "macro_f1", *[F.col(c).alias(f"micro_{c}") for c in ("precision", "recall", "f1")])
 
 
-def viterbi(t_us: np.ndarray, p: np.ndarray, tau_open_h: float, tau_closed_h: float, gap_h: float, reliability: float = 1.0, eps: float = 1e-6) -> np.ndarray:
-    """Two-state decoding with dwell times; a gap starts a new segment whose first state is likely the last one's."""
-    n = len(p)
-    q = np.clip(np.nan_to_num(p, nan=0.5), eps, 1 - eps) * reliability + 0.5 * (1 - reliability)
-    emit = np.log(np.stack([1 - q, q], 1))
-    states = np.zeros(n, np.int64)
-    hours = np.diff(t_us) / 3.6e9
-    if not n:
-        return states
-    starts = [0, *(np.flatnonzero(hours > gap_h) + 1), n]
-    seed = int(q[0] >= 0.5)
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        score = np.log([0.8, 0.2] if seed == 0 else [0.2, 0.8]) + emit[a]
-        back = np.zeros((b - a, 2), np.int64)
-        for i in range(a + 1, b):
-            stay = np.exp(-hours[i - 1] / np.array([tau_closed_h, tau_open_h]))
-            stay = np.clip(stay, eps, 1 - eps)
-            move = np.log([[stay[0], 1 - stay[0]], [1 - stay[1], stay[1]]]) + score[:, None]
-            back[i - a] = move.argmax(0)
-            score = move.max(0) + emit[i]
-        states[b - 1] = int(score.argmax())
-        for i in range(b - 1, a, -1):
-            states[i - 1] = back[i - a, states[i]]
-        seed = int(states[b - 1])
-    return states
-
-
-def hmm_states(df: DataFrame, p: str, tau_open_h: float = 72, tau_closed_h: float = 72, gap_h: float = 72, reliability: float = 1.0, key: str = "site") -> DataFrame:
-    """(key, us, state) by Viterbi decoding of each key's series."""
-
-    def per_key(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("us", kind="stable")
-        return pd.DataFrame({key: g[key], "us": g.us, "state": viterbi(g.us.to_numpy(), g[p].to_numpy(float), tau_open_h, tau_closed_h, gap_h, reliability)})
-
-    return df.select(key, "us", p).groupBy(key).applyInPandas(per_key, f"{key} {dict(df.dtypes)[key]}, us bigint, state int")
+#: Priors of a segment's first state: likely the last segment's last one. Fixed values.
+PRIOR, FLOOR = (0.8, 0.2), 1e-6
+
+
+def _then(f: tuple, start: bool, first: bool, e: float, s0: float, m0: float, s1: float, m1: float) -> tuple:
+    """The function f of the open state's lead before a chunk, followed by one sample.
+
+    Leads pass a sample as a clamped line, up or down, ("line", low, high, sign, shift); a segment's start
+    makes them one of two values, ("step", bound, whether above it, value if so, value if not).
+    """
+    prior = float(np.log((PRIOR[0] + FLOOR) / (PRIOR[1] + FLOOR)))
+    if start:
+        if first:
+            v = (prior if e >= 0 else -prior) + e
+            return "step", 0.0, 1.0, v, v
+        yes, no = prior + e, -prior + e
+        if f[0] == "step":
+            return "step", f[1], f[2], yes if f[3] > 0 else no, yes if f[4] > 0 else no
+        _, low, high, sign, shift = f
+        if sign > 0:  # shift + clamped lead > 0
+            return "step", (-np.inf if low > -shift else np.inf if high <= -shift else -shift), 1.0, yes, no
+        return "step", (np.inf if high < shift else -np.inf if low >= shift else shift), 0.0, yes, no
+    # max(m0, d + s1) - max(s0, d + m1) + e, as a clamped line of d
+    if s0 + s1 >= m0 + m1:
+        low2, high2, sign2, shift2 = m0 - s1, s0 - m1, 1.0, s1 - s0 + e
+    else:
+        low2, high2, sign2, shift2 = s0 - m1, m0 - s1, -1.0, m0 - m1 + e
+    through = lambda x: shift2 + sign2 * min(max(x, low2), high2)
+    if f[0] == "step":
+        return "step", f[1], f[2], through(f[3]), through(f[4])
+    _, low, high, sign, shift = f
+    under, over = (low2 - shift, high2 - shift) if sign > 0 else (shift - high2, shift - low2)
+    low, high = (min(max(x, under), over) for x in (low, high))
+    return "line", low, high, sign * sign2, shift2 + sign2 * shift
+
+
+def _at(f: tuple, d: float) -> float:
+    kind, a, b, c, e = f
+    if kind == "line":
+        return e + c * min(max(d, a), b)
+    return c if (d > a if b else d < a) else e
+
+
+def hmm_states(
+    df: DataFrame, p: str, tau_open_h: float | Column = 72.0, tau_closed_h: float | Column = 72.0, gap_h: float = 72.0,
+    reliability: float | Column = 1.0, key: str = "site", segments: str = "after_gap", chunk: int = 4096,
+) -> DataFrame:
+    """(key, us, state) by two-state Viterbi decoding of each key's series with dwell times in hours.
+
+    A gap of more than ``gap_h`` ends a segment; the next one's prior favours the state that the last
+    one ended with. It starts with the sample after the gap, or, for 'reference', one later: that sample
+    then still closes the segment before the gap. NaN and null probabilities count as 0.5. Parameters may
+    be columns of ``df`` that are constant within a key.
+
+    What decides a sample's state is the lead of open over closed, and a chunk of samples is a simple
+    function of the lead before it. So chunks of ``chunk`` samples are summarised on their own, their
+    summaries chained, and every chunk decoded on its own; no call holds a key's whole series. The way
+    back is a window over the samples' back pointers.
+    """
+    kind = dict(df.dtypes)[key]
+    lit = lambda c: c if isinstance(c, Column) else F.lit(float(c))
+    w = Window.partitionBy(key).orderBy("us", "q")
+    q = F.greatest(F.lit(FLOOR), F.least(F.lit(1 - FLOOR), F.coalesce(missing(F.col(p).cast("double")), F.lit(0.5))))
+    q = lit(reliability) * q + (1 - lit(reliability)) * 0.5
+    rows = df.select(key, "us", q.alias("q"), lit(tau_open_h).alias("open"), lit(tau_closed_h).alias("closed"))
+    hours, number = (F.col("us") - F.lag("us").over(w)) / 3.6e9, F.row_number().over(w) - 1
+    rows = rows.withColumns({"hours": F.coalesce(hours, F.lit(0.0)), "number": number}).withColumn("gap", F.col("hours") > gap_h)
+    after = {"after_gap": F.col("gap"), "reference": F.coalesce(F.lag("gap").over(w), F.lit(False))}[segments]
+    stay = lambda tau: F.greatest(-F.col("hours") / F.greatest(F.col(tau), F.lit(FLOOR)), F.lit(float(np.log(FLOOR))))
+    move = lambda tau: F.log(F.greatest(1 - F.exp(-F.col("hours") / F.greatest(F.col(tau), F.lit(FLOOR))), F.lit(FLOOR)))
+    steps = rows.select(
+        key, "us", "number", F.floor(F.col("number") / chunk).alias("chunk"), (after | (F.col("number") == 0)).alias("start"), (F.col("number") == 0).alias("first"),
+        F.log(F.col("q") / (1 - F.col("q"))).alias("e"), stay("closed").alias("s0"), move("closed").alias("m0"), stay("open").alias("s1"), move("open").alias("m1"),
+    )
+    columns = ["start", "first", "e", "s0", "m0", "s1", "m1"]
+
+    def summary(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        f = ("line", -np.inf, np.inf, 1.0, 0.0)
+        for x in g.sort_values("number")[columns].itertuples(index=False, name=None):
+            f = _then(f, *x)
+        return pd.DataFrame([(k[0], k[1], *f)], columns=[key, "chunk", "kind", "a", "b", "c", "d"])
+
+    def chain(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        d, leads = 0.0, []
+        g = g.sort_values("chunk")
+        for f in g[["kind", "a", "b", "c", "d"]].itertuples(index=False, name=None):
+            leads.append(d)
+            d = _at(f, d)
+        return pd.DataFrame({key: k[0], "chunk": g.chunk, "lead": leads})
+
+    def pointers(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("number")
+        d, out = float(g.lead.iloc[0]), []
+        for x in g[columns].itertuples(index=False, name=None):
+            start, _, _, s0, m0, s1, m1 = x
+            out.append((0, 0) if start else (int(d + m1 > s0), int(d + s1 > m0)))
+            d = _at(_then(("line", -np.inf, np.inf, 1.0, 0.0), *x), d)
+            out[-1] += (int(d > 0),)
+        back = np.array(out, np.int64).reshape(-1, 3)
+        return pd.DataFrame({key: g[key], "us": g.us, "number": g.number, "start": g.start, "from0": back[:, 0], "from1": back[:, 1], "top": back[:, 2]})
+
+    parts = steps.groupBy(key, "chunk")
+    leads = parts.applyInPandas(summary, f"{key} {kind}, chunk bigint, kind string, a double, b double, c double, d double")
+    leads = leads.groupBy(key).applyInPandas(chain, f"{key} {kind}, chunk bigint, lead double")
+    made = steps.join(leads, [key, "chunk"]).groupBy(key, "chunk").applyInPandas(pointers, f"{key} {kind}, us bigint, number bigint, start boolean, from0 int, from1 int, top int")
+    # Seen from the next sample, a state is known, that of the next sample, or its opposite.
+    back = Window.partitionBy(key).orderBy(F.desc("number"))
+    last = F.coalesce(F.lag("start").over(back), F.lit(True))
+    f0, f1 = F.lag("from0").over(back), F.lag("from1").over(back)
+    known = F.when(last, F.col("top")).when(f0 == f1, f0)
+    made = made.withColumns({"known": known, "turned": F.when(last | (f0 == f1), 0).otherwise(f0)})
+    made = made.withColumn("turns", F.sum("turned").over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.last(F.when(F.col("known").isNotNull(), F.struct("known", "turns")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    return made.select(key, "us", ((at["known"] + F.col("turns") - at["turns"]) % 2).cast("int").alias("state"))
+
+
+def search_parameters(df: DataFrame, p: str, y: str, grid: list[tuple[float, float, float]], gap_us: int, tolerance_us: int, smooth: tuple[float, float, int] | None = (0.65, 0.45, 2), key: str = "site") -> DataFrame:
+    """(key, param, tp, fp, fn, precision, recall, f1): every series decoded with every (tau_open_h, tau_closed_h, reliability) of the grid.
+
+    The truth is taken as it is or, with ``smooth`` (high, low, shortest run), decoded by hysteresis.
+    All parameters are decoded and matched in one pass over the series; ``key`` must be a whole number.
+    """
+    n = len(grid)
+    truth = df.select(key, "us", F.col(y).cast("double").alias("_y"))
+    truth = series.hysteresis(truth, "_y", *smooth, gap_us, key, "_s") if smooth else truth.withColumn("_s", F.col("_y").cast("int"))
+    spread = F.explode(F.array(*[F.struct(F.lit(k).alias("param"), *[F.lit(float(v)).alias(c) for v, c in zip(g, ("open", "closed", "trust"), strict=True)]) for k, g in enumerate(grid)]))
+    runs = df.select(key, "us", p).withColumn("_g", spread).select((F.col(key) * n + F.col("_g.param")).alias("run"), "us", p, "_g.open", "_g.closed", "_g.trust")
+    decoded = hmm_states(runs, p, F.col("open"), F.col("closed"), gap_us / 3.6e9, F.col("trust"), key="run")
+    found = series.change_events(decoded, "state", gap_us, "run")
+    params = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    known = series.change_events(truth, "_s", gap_us, key).withColumn("_p", params).select((F.col(key) * n + F.col("_p")).alias("run"), "event_us", "new_state")
+    every = df.select(key).distinct().withColumn("param", params).withColumn("run", F.col(key) * n + F.col("param"))
+    matched = of_every(match_events(known, found, tolerance_us, optimal=True, key="run"), every, "run").join(every, "run")
+    return with_scores(matched).select(key, "param", "tp", "fp", "fn", "precision", "recall", "f1")
 
 
 def leave_one_out(scored: DataFrame, key: str = "site", params: str = "param") -> DataFrame:

@@ -21,23 +21,23 @@ def band_join(left: DataFrame, right: DataFrame, key: str, l_us: str, r_us: str,
     return near.join(right.withColumn("_bucket", F.floor(F.col(r_us) / t)), [key, "_bucket"]).where(within).drop("_bucket")
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, l_us: str, r_us: str, values: list[str], key: str | None = None, tolerance_us: int | None = None) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, l_us: str, r_us: str, values: list[str], key: str, tolerance_us: int | None = None) -> DataFrame:
     """Every left row with ``values`` and time of the right row nearest in time, the earlier of two as near.
 
     Both sides are stacked and carried along one window, so each key is sorted once and no pairs are
-    formed. Without a key the whole of both sides is one series; it should be small then. Of right
-    rows at the same time, the one with the least values is taken.
+    formed. Of right rows at the same time, the one with the least values is taken.
     """
     carried = F.struct(F.col(r_us).alias("_at"), *values)
     kind = right.select(carried.alias("_r")).schema["_r"].dataType
-    keys = [key] if key else []
+    keys = [key]
     a = left.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(l_us).alias("_us"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(kind).alias("_r"))
     one = right.groupBy(*keys, r_us).agg(F.min(carried).alias("_r"))
     b = one.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(r_us).alias("_us"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("_l")).schema["_l"].dataType).alias("_l"), "_r")
     w = Window.partitionBy(*[f"_k_{k}" for k in keys])
     both = a.unionByName(b)
     before = F.last("_r", ignorenulls=True).over(w.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(w.orderBy("_us").rangeBetween(0, Window.unboundedFollowing))
+    # Downwards, so that this frame too only grows along the window.
+    after = F.last("_r", ignorenulls=True).over(w.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0))
     out = both.withColumns({"_before": before, "_after": after}).where("_l is not null")
     d1, d2 = F.col("_us") - F.col("_before._at"), F.col("_after._at") - F.col("_us")
     pick = F.when(F.col("_after").isNull() | (d1 <= d2), F.col("_before")).otherwise(F.col("_after"))

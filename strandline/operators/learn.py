@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.agg import ranked
+from strandline.operators.graph import components as linked
 from strandline.operators.vectors import mean_vector
+from strandline.storage import Scratch
 
 
 def standardise(df: DataFrame, vector: str, name: str = "scaled") -> DataFrame:
@@ -41,47 +48,153 @@ def logistic(df: DataFrame, vector: str, label: str, weight: str, c: float = 0.1
     return fit.fit(d).transform(d).withColumn(name, F.get(vector_to_array("_p"), F.lit(1))).drop("_v", "_p", "_r", "_y")
 
 
-def dbscan(df: DataFrame, row: str, x: str, y: str, eps: float, least: int) -> DataFrame:
-    """(row, cluster) of planar points: clusters of core points within eps of each other, named by their least row id; -1 is noise.
+def _blocks(rows: DataFrame, reach: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """rows (id, v, c) with a block number ``blk``, and the pairs (i, j) of blocks that points within ``reach`` may be in.
 
-    Neighbours meet in grid cells of width eps. Core points are joined by label propagation with pointer
-    jumping, each round checkpointed in the shared folder; border points take the least neighbouring cluster.
+    Blocks are ranges of the coordinate c, and ranges that equal or dense points fill are dealt to several
+    blocks by hash, so no block is much larger than ``block``. One row for each range goes to the driver.
+    """
+    n = max(1, -(-rows.count() // block))
+    cuts = sorted(set(rows.approxQuantile("c", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
+    ranged = rows.withColumn("r", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("c"))) if cuts else F.lit(0))
+    spans, parts = [], []
+    for r, low, high, rows_in in sorted(tuple(x) for x in ranged.groupBy("r").agg(F.min("c"), F.max("c"), F.count(F.lit(1))).collect()):
+        share = max(1, -(-rows_in // block))
+        parts.append((r, len(spans), share))
+        spans += [(low, high)] * share
+    met = [(i, j) for i, (a, b) in enumerate(spans) for j, (c, d) in enumerate(spans) if c <= b + reach and a <= d + reach]
+    spark = rows.sparkSession
+    starts = spark.createDataFrame(parts, "r int, first int, share int")  # one row for each range
+    dealt = ranged.join(F.broadcast(starts), "r").withColumn("blk", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("share"))).cast("int"))
+    return dealt.select("id", "v", "blk"), spark.createDataFrame(met, "i int, j int")
+
+
+def dbscan(df: DataFrame, row: str, vector: str, eps: float, least: int, block: int = 4096) -> DataFrame:
+    """(row, cluster) by whole vectors: clusters of core points within eps of each other, named by their least row id; -1 is noise.
+
+    A core point has ``least`` points within eps, itself included; border points take the least
+    neighbouring cluster. Blocks of points along the widest element meet those within eps of them, in
+    memory: a call returns a count for each point, then links that join what is connected (no more than
+    its points), then the border's clusters, never the pairs. So dense or equal points cost time but no
+    output; time grows with the square of the points that share a stretch of the widest element. Rows
+    without a vector are noise. ``row`` identifies a row.
     """
-    from strandline.storage import materialise
-
-    p = df.select(F.col(row).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    cell = p.withColumns({"cx": F.floor(F.col("x") / eps), "cy": F.floor(F.col("y") / eps)})
-    around = cell.withColumn("_o", F.explode(F.expr("flatten(transform(array(-1,0,1), i -> transform(array(-1,0,1), j -> struct(i as i, j as j))))")))
-    a = around.select(F.col("i").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy"))
-    met = a.join(cell, ["cx", "cy"]).where("(ax - x) * (ax - x) + (ay - y) * (ay - y) <= " + repr(eps * eps)).select("a", F.col("i").alias("b"))
-    near = materialise(met)
-    core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
-    edges = materialise(near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b"))
-    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("l")))
-    while True:
-        low = edges.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        new = labels.join(low, "a").select("a", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("a").alias("l"), F.col("l").alias("j"))
-        now = materialise(new.join(jump, "l", "left").select("a", "old", F.least("l", F.coalesce("j", "l")).alias("l")))
-        labels = now.select("a", "l")
-        if not now.where("old <> l").limit(1).count():
-            break
-    border = near.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("bl"))
-    out = p.select(F.col("i").alias("a")).join(labels, "a", "left").join(border, "a", "left")
-    return out.select(F.col("a").alias(row), F.coalesce("l", "bl", F.lit(-1)).alias("cluster"))
+    scratch = Scratch(df.sparkSession)
+    has = df.where(F.col(vector).isNotNull()).select(F.col(row).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    spread = has.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.stddev_pop("x").alias("s")).orderBy(F.desc("s"), "p").limit(1).collect()
+    rows, met = _blocks(scratch.write(has.withColumn("c", F.get("v", F.lit(spread[0].p if spread else 0)))), eps, block)
+    rows = scratch.write(rows)
+    kind = dict(rows.dtypes)["id"]
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """For 256 rows of a at a time: where they start, and which of b is within eps."""
+        va, vb = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
+        nb = (vb * vb).sum(1)
+        for at in range(0, len(va), 256):
+            part = va[at : at + 256]
+            d2 = (part * part).sum(1)[:, None] + nb - 2 * part @ vb.T
+            within = d2 <= eps * eps
+            # The product rounds; what is close to the limit is measured exactly.
+            for q, m in zip(*np.nonzero(np.abs(d2 - eps * eps) <= 1e-9 * (1 + nb.max())), strict=True):
+                within[q, m] = ((part[q] - vb[m]) ** 2).sum() <= eps * eps
+            yield at, within
+
+    def counts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": a.id[:0], "n": []})
+        return pd.DataFrame({"id": a.id, "n": np.concatenate([m.sum(1) for _, m in near(a, b)])})
+
+    def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": a.id[:0], "b": a.id[:0]})
+        own, other, group, out = a.id.to_numpy(), b.id.to_numpy(), np.arange(len(b)), []
+        for at, m in near(a, b):
+            for q, line in enumerate(m):
+                met_groups = np.unique(group[line])
+                out += [(own[at + q], other[g]) for g in met_groups]
+                if len(met_groups) > 1:
+                    group[np.isin(group, met_groups)] = met_groups[0]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    def borders(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": a.id[:0], "cluster": a.id[:0]})
+        b = b.sort_values("cluster")
+        first = np.concatenate([np.where(m.any(1), m.argmax(1), -1) for _, m in near(a, b)])
+        return pd.DataFrame({"id": a.id.to_numpy()[first >= 0], "cluster": b.cluster.to_numpy()[first[first >= 0]]})
+
+    def meet(left: DataFrame, right: DataFrame, f: Callable, schema: str) -> DataFrame:
+        asked = left.join(met, F.col("blk") == F.col("i")).drop("blk").groupBy("i", "j")
+        known = right.select(*[F.col(c).alias(c) for c in right.columns]).join(met, F.col("blk") == F.col("j"))
+        known = known.select(*[F.col(c).alias(c) for c in known.columns if c != "blk"]).groupBy("i", "j")
+        return asked.cogroup(known).applyInPandas(f, schema)
+
+    core_ids = meet(rows, rows, counts, f"id {kind}, n bigint").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("id")
+    core_ids = scratch.write(core_ids)
+    core = rows.join(core_ids, "id", "left_semi")
+    named = linked(meet(core, core, links, f"a {kind}, b {kind}"), scratch)
+    named = core_ids.join(named.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    named = scratch.write(named)
+    edge = meet(rows.join(core_ids, "id", "left_anti"), core.join(named, "id"), borders, f"id {kind}, cluster {kind}").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    every = df.select(F.col(row).alias("id")).join(named.union(edge), "id", "left")
+    out = scratch.write(every.select(F.col("id").alias(row), F.coalesce("cluster", F.lit(-1)).alias("cluster")))
+    scratch.clear(but=out)
+    return out
 
 
 def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 42) -> DataFrame:
     """(group, fold): whole groups dealt so that label shares stay even.
 
     Groups are ordered by size (equal ones by a seeded hash) and dealt to and fro over the folds, by
-    rank in Spark; nothing is collected.
+    rank in Spark; nothing is collected. Rows without a group are in no fold.
     """
-    from pyspark.sql import Window
-
     n = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.max_by(label, label).alias("_l"))
-    w = Window.partitionBy("_l").orderBy(F.desc("_n"), F.xxhash64(F.lit(seed), F.col(group)), group)
-    r = n.withColumn("_r", F.row_number().over(w) - 1)
-    turn = F.floor(F.col("_r") / k) % 2
-    pos = F.col("_r") % k
+    r = ranked(n, ["_l"], [-F.col("_n"), F.xxhash64(F.lit(seed), F.col(group)), F.col(group)])
+    place = F.col("rank") - 1
+    turn, pos = F.floor(place / k) % 2, place % k
     return r.select(group, F.when(turn == 0, pos).otherwise(k - 1 - pos).cast("int").alias("fold"))
+
+
+def cluster_sweep(df: DataFrame, vector: str, ks: range, seed: int = 42) -> DataFrame:
+    """(k, cost, sizes): for each k the sum of squared distances to the centres and the clusters' sizes, the largest first."""
+    d = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v")).cache()
+    rows = []
+    for k in ks:
+        s = KMeans(k=k, seed=seed, featuresCol="_v").fit(d).summary
+        rows.append((k, float(s.trainingCost), sorted((int(n) for n in s.clusterSizes), reverse=True)))
+    d.unpersist()
+    return df.sparkSession.createDataFrame(rows, "k int, cost double, sizes array<bigint>")
+
+
+def clusters_of_inliers(df: DataFrame, vector: str, outlier: str, k: int, seed: int = 42, name: str = "cluster") -> DataFrame:
+    """Every row with its cluster among the rows that are no outliers; outliers, and rows where that is unknown, have -1."""
+    whole = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    inside = ~F.coalesce(F.col(outlier), F.lit(True))
+    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c").fit(whole.where(inside))
+    return model.transform(whole).withColumn(name, F.when(inside, F.col("_c")).otherwise(F.lit(-1))).drop("_v", "_c")
+
+
+def forest(df: DataFrame, vector: str, label: str, trees: int = 50, seed: int = 42, name: str = "prob") -> DataFrame:
+    """Random forest with balanced class weights, rows / (classes * rows of the class); adds the positive class's probability."""
+    per = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    all_ = per.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))  # one row; classes are few
+    weights = per.crossJoin(F.broadcast(all_)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("_w"))
+    d = df.join(F.broadcast(weights), label, "left").withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    fit = RandomForestClassifier(featuresCol="_v", labelCol=label, weightCol="_w", numTrees=trees, seed=seed, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y").fit(d.where(F.col(label).isNotNull()))
+    return fit.transform(d).withColumn(name, F.get(vector_to_array("_p"), F.lit(1))).drop("_v", "_p", "_r", "_y", "_w")
+
+
+def balanced_split(df: DataFrame, row: str, label: str, ratio: int = 10, train: float = 0.75, seed: int = 42) -> DataFrame:
+    """(row, label, weight, train): all positives and at most ``ratio`` times as many negatives, split alike in both classes.
+
+    The chosen negatives and the split go by a seeded hash of the row id, ranked over ranges so that no
+    task takes a whole class. A row's weight is its class's share of the original rows over its share of
+    the kept ones, so that weighted sums have the original prevalence.
+    """
+    r = ranked(df.where(F.col(label).isin(0, 1)).select(row, label), [label], [F.xxhash64(F.lit(seed), F.col(row)), F.col(row)])
+    n = r.groupBy(label).agg(F.max("total").alias("_n"))
+    sides = n.agg(F.coalesce(F.max(F.when(F.col(label) == 1, F.col("_n"))), F.lit(0)).alias("_pos"), F.coalesce(F.max(F.when(F.col(label) == 0, F.col("_n"))), F.lit(0)).alias("_neg"))  # one row
+    kept_neg = F.least(F.col("_neg"), ratio * F.col("_pos"))
+    d = r.crossJoin(F.broadcast(sides)).withColumn("_kept", F.when(F.col(label) == 1, F.col("_pos")).otherwise(kept_neg)).where("rank <= _kept")
+    share = (F.col("total") / (F.col("_pos") + F.col("_neg"))) / (F.col("_kept") / (F.col("_pos") + kept_neg))
+    return d.select(row, label, share.alias("weight"), (F.col("rank") <= F.ceil(train * F.col("_kept"))).alias("train"))

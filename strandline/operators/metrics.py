@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.scalars import missing
+from strandline.storage import materialise
+
+
+def known(c: str) -> Column:
+    """Neither null nor NaN: only such scores count in a metric."""
+    return missing(F.col(c).cast("double")).isNotNull()
+
 
 def threshold_sweep(df: DataFrame, p: str, y: str, steps: int = 100) -> DataFrame:
     """(threshold, tp, fp, fn, tn) for thresholds k/steps; predicted positive at p >= threshold.
@@ -13,7 +21,7 @@ def threshold_sweep(df: DataFrame, p: str, y: str, steps: int = 100) -> DataFram
     the counts; the input is aggregated before the thresholds are laid beside it.
     """
     k = F.greatest(F.lit(-1), F.least(F.lit(steps), F.floor(F.col(p) * steps + 1e-9))).cast("int")
-    passed = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(k.alias("_k")).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    passed = df.where(known(p) & F.col(y).isNotNull()).groupBy(k.alias("_k")).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
     grid = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("_t"))
     at = F.col("_k") >= F.col("_t")
     laid = passed.crossJoin(F.broadcast(grid)).groupBy("_t")  # at most steps + 2 rows on the left
@@ -28,38 +36,48 @@ def threshold_sweep(df: DataFrame, p: str, y: str, steps: int = 100) -> DataFram
 
 def by_score(df: DataFrame, score: str, y: str) -> DataFrame:
     """Positives and rows for each distinct score: what curves and ranks need, aggregated first."""
-    return df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    return df.where(known(score) & F.col(y).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
 
 
-def pr_curve(df: DataFrame, score: str, y: str, slices: int = 64) -> DataFrame:
-    """(score, tp, fp, precision, recall) when everything at or above a score is positive.
+def _curve(df: DataFrame, score: str, y: str, slices: int) -> DataFrame:
+    """(score, pos, n, tp, k, all): running sums of positives and rows from the highest score down.
 
-    Running sums over the distinct scores are taken within slices of the score range and lifted by
-    the slices' totals, so no task sorts all scores.
+    Distinct scores are dealt to ranges of equal size, whatever their distribution; running sums within
+    a range are lifted by the ranges' totals, so no task sorts all scores. The counts by score are
+    written once, since ranges are drawn from them.
     """
-    s = by_score(df, score, y)
-    ends = s.agg(F.min("score").alias("_a"), F.max("score").alias("_b"), F.sum("pos").alias("_all"))
-    cut = s.crossJoin(F.broadcast(ends)).withColumn("_s", F.when(F.col("_b") > F.col("_a"), F.least(F.lit(slices - 1), F.floor((F.col("score") - F.col("_a")) / (F.col("_b") - F.col("_a")) * slices))).otherwise(F.lit(0)))
-    above = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("_s").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))  # one row a slice
-    lifts = totals.select("_s", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
+    s = by_score(df, score, y).repartitionByRange(slices, F.desc("score")).withColumn("_s", F.spark_partition_id())
+    cut = materialise(s)
+    above = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("_s").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))  # one row a range
+    lifts = totals.select("_s", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"), F.sum("_p").over(Window.partitionBy()).alias("_all"))
     w = Window.partitionBy("_s").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     run = cut.withColumns({"_rp": F.sum("pos").over(w), "_rn": F.sum("n").over(w)}).join(F.broadcast(lifts), "_s")
-    tp, n = F.col("_p") + F.col("_rp"), F.col("_n") + F.col("_rn")
-    return run.select("score", tp.alias("tp"), (n - tp).alias("fp"), (tp / n).alias("precision"), F.when(F.col("_all") > 0, tp / F.col("_all")).alias("recall"))
+    return run.select("score", "pos", "n", (F.col("_p") + F.col("_rp")).alias("tp"), (F.col("_n") + F.col("_rn")).alias("k"), F.col("_all").alias("all"))
+
+
+def pr_curve(df: DataFrame, score: str, y: str, slices: int = 64) -> DataFrame:
+    """(score, tp, fp, precision, recall) when everything at or above a score is positive."""
+    tp, k = F.col("tp"), F.col("k")
+    return _curve(df, score, y, slices).select("score", "tp", (k - tp).alias("fp"), (tp / k).alias("precision"), F.when(F.col("all") > 0, tp / F.col("all")).alias("recall"))
+
+
+def auroc(df: DataFrame, score: str, y: str, slices: int = 64) -> DataFrame:
+    """One row: the area under the ROC curve, ties counting half; null where one class is missing."""
+    neg = F.col("n") - F.col("pos")
+    pairs = F.sum(neg * (F.col("tp") - F.col("pos")) + neg * F.col("pos") / 2)
+    return _curve(df, score, y, slices).agg(F.try_divide(pairs, F.sum("pos") * F.sum(neg)).alias("auroc"))
 
 
-def auroc(df: DataFrame, score: str, y: str) -> DataFrame:
-    """One row: the area under the ROC curve, ties counting half."""
-    c = pr_curve(df, score, y).join(by_score(df, score, y), "score")
-    pairs = F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos")) + (F.col("n") - F.col("pos")) * F.col("pos") / 2)
-    return c.agg((pairs / (F.sum("pos") * F.sum(F.col("n") - F.col("pos")))).alias("auroc"))
+def average_precision(df: DataFrame, score: str, y: str, slices: int = 64) -> DataFrame:
+    """One row: the sum over scores of the precision there times the recall that it adds; null without positives."""
+    return _curve(df, score, y, slices).agg(F.try_divide(F.sum(F.col("tp") / F.col("k") * F.col("pos")), F.max("all")).alias("average_precision"))
 
 
 def calibration_error(df: DataFrame, p: str, y: str, bins: int = 15) -> DataFrame:
     """One row: the expected calibration error over equal bins."""
     b = F.least(F.lit(bins - 1), F.floor(F.col(p) * bins))
-    g = df.where(F.col(p).isNotNull()).groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(y).cast("double")).alias("_acc"), F.avg(p).alias("_conf"))
+    g = df.where(known(p) & F.col(y).isNotNull()).groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(y).cast("double")).alias("_acc"), F.avg(p).alias("_conf"))
     return g.agg((F.sum(F.col("_n") * F.abs(F.col("_acc") - F.col("_conf"))) / F.sum("_n")).alias("ece"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,7 +21,8 @@ def scene_stats(px: DataFrame, scene: str) -> DataFrame:
     """
     vis = (F.col("b0") + F.col("b1") + F.col("b2")) / 3
     spread = F.sqrt((F.pow(F.col("b0") - vis, 2) + F.pow(F.col("b1") - vis, 2) + F.pow(F.col("b2") - vis, 2)) / 3)
-    p = px.withColumns({"_vis": vis, "_sd": spread})
+    # Dealt by scene once: windows over its rows and columns need no other partitioning.
+    p = px.repartition(scene).withColumns({"_vis": vis, "_sd": spread})
     row, col = Window.partitionBy(scene, "y").orderBy("x"), Window.partitionBy(scene, "x").orderBy("y")
     step = lambda w: F.coalesce(F.lag("_vis").over(w), F.lead("_vis").over(w)) + F.coalesce(F.lead("_vis").over(w), F.lag("_vis").over(w))
     p = p.withColumn("_lap", step(row) + step(col) - 4 * F.col("_vis"))
@@ -43,10 +44,14 @@ def scene_stats(px: DataFrame, scene: str) -> DataFrame:
     )
 
 
-def contrast_stretch(px: DataFrame, scene: str, band: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """The band between its scene's two percentiles, mapped to 0..1 and clipped."""
-    cuts = px.groupBy(scene).agg(F.percentile(band, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    v = (F.col(band) - F.get("_q", F.lit(0))) / (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0)))
+def contrast_stretch(px: DataFrame, scene: str, band: str, low: float | None = 0.02, high: float = 0.98, valid: Column | None = None, eps: float = 0.0) -> DataFrame:
+    """The band between its scene's two percentiles, mapped to 0..1 and clipped.
+
+    Only ``valid`` pixels make the percentiles; without ``low`` the range starts at 0. ``eps`` is added to its width.
+    """
+    v = F.col(band) if valid is None else F.when(valid, F.col(band))
+    cuts = px.groupBy(scene).agg((F.lit(0.0) if low is None else F.percentile(v, F.lit(low))).alias("_a"), F.percentile(v, F.lit(high)).alias("_b"))
+    v = F.try_divide(F.col(band) - F.col("_a"), F.col("_b") - F.col("_a") + eps)
     return px.join(cuts, scene).select(scene, "y", "x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).alias("stretched"))
 
 
@@ -57,7 +62,7 @@ def sharpness(px: DataFrame, scene: str, band: str) -> DataFrame:
     v = F.col(band)
     lag = lambda w: F.coalesce(F.lag(band).over(w), F.lead(band).over(w))
     lead = lambda w: F.coalesce(F.lead(band).over(w), F.lag(band).over(w))
-    p = px.withColumns({"_gx": (lead(row) - lag(row)) / 2, "_gy": (lead(col) - lag(col)) / 2, "_four": lag(row) + lead(row) + lag(col) + lead(col)})
+    p = px.repartition(scene).withColumns({"_gx": (lead(row) - lag(row)) / 2, "_gy": (lead(col) - lag(col)) / 2, "_four": lag(row) + lead(row) + lag(col) + lead(col)})
     return p.groupBy(scene).agg(
         F.round(F.avg(F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy"))), 6).alias("gradient"),
         F.round(F.var_pop(F.col("_four") - 4 * v), 6).alias("sharpness"),

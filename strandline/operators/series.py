@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.scalars import missing
 from strandline.functions.timeparts import DAY_US, HOUR_US
 
 
@@ -69,17 +70,21 @@ def gaps(df: DataFrame, min_gap_us: int, buffer_us: int, start_us: int | None =
 
 
 def smooth_guarded(value: str, days: int = 2, key: str = "site") -> Column:
-    """Mean over the open window of 24*days+4 hours to both sides if it holds an earlier sample, else the value."""
+    """Mean over the open window of 24*days+4 hours to both sides if it holds an earlier sample, else the value.
+
+    Missing values, null or NaN, don't count in a mean.
+    """
     half = (24 * days + 4) * HOUR_US - 1
     w = by(key)
     earlier = F.count(F.lit(1)).over(w.rangeBetween(-half, -1))
-    return F.when(earlier > 0, F.avg(value).over(w.rangeBetween(-half, half))).otherwise(F.col(value))
+    v = missing(F.col(value).cast("double"))
+    return F.when(earlier > 0, F.avg(v).over(w.rangeBetween(-half, half))).otherwise(v)
 
 
 def smooth_centred(value: str, days: int, key: str = "site") -> Column:
-    """Mean over (t - days/2, t + days/2]."""
+    """Mean over (t - days/2, t + days/2]; missing values, null or NaN, don't count."""
     half = days * DAY_US // 2
-    return F.avg(value).over(by(key).rangeBetween(-half + 1, half))
+    return F.avg(missing(F.col(value).cast("double"))).over(by(key).rangeBetween(-half + 1, half))
 
 
 def hysteresis(df: DataFrame, p: str, high: float, low: float, min_run: int, gap_us: int, key: str = "site", name: str = "state") -> DataFrame:
@@ -87,9 +92,11 @@ def hysteresis(df: DataFrame, p: str, high: float, low: float, min_run: int, gap
 
     The first sample and any after a gap start anew (1 if p >= high). Otherwise the state turns once
     ``min_run`` samples from here on (fewer at the end) are all >= high or all <= low, without a gap or
-    a missing value among them; else it holds.
+    a missing value (null or NaN) among them; else it holds.
     """
     w = by(key)
+    df = df.withColumn("_p", missing(F.col(p).cast("double")))
+    p = "_p"
     ahead, after = w.rowsBetween(0, min_run - 1), w.rowsBetween(1, max(1, min_run - 1))
     d = df.withColumn("_new", F.coalesce((delta(key) > gap_us).cast("int"), F.lit(0)))
     whole = F.coalesce(F.sum("_new").over(after), F.lit(0)) == 0 if min_run > 1 else F.lit(True)
@@ -100,7 +107,7 @@ def hysteresis(df: DataFrame, p: str, high: float, low: float, min_run: int, gap
         .when(whole & (F.min(p).over(ahead) >= high), 1)
         .when(whole & (F.max(p).over(ahead) <= low), 0)
     )
-    return d.withColumn("_turn", turn).withColumn(name, F.last("_turn", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new", "_turn")
+    return d.withColumn("_turn", turn).withColumn(name, F.last("_turn", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new", "_turn", "_p")
 
 
 def change_events(df: DataFrame, state: str, gap_us: int, key: str = "site", midpoint: str = "anchor") -> DataFrame:

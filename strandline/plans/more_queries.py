@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
 from strandline.functions.timeparts import HOUR_US
-from strandline.operators import joins, metrics
+from strandline.operators import agg, joins, metrics
 from strandline.operators.power import fit_yeo_johnson
 from strandline.plans.base import E, observations, table
 from strandline.queries import query
@@ -116,9 +115,8 @@ select doc_id, quality from l where quality = 0 or n <= 3 * (select count(*) fro
 def balanced_subsample(spark, sf_dir):
     l = table(spark, sf_dir, "labels").select("doc_id", "quality")  # noqa: E741
     few = l.where("quality = 0").agg(F.count(F.lit(1)).alias("_m"))
-    # Rank by a spread of the ids within hash slices would do the same; the order is total, so the choice is repeatable.
-    n = F.row_number().over(Window.partitionBy("quality").orderBy((F.col("doc_id") * 2654435761) % 4294967296, "doc_id"))
-    return l.withColumn("_n", n).crossJoin(F.broadcast(few)).where("quality = 0 or _n <= 3 * _m").select("doc_id", "quality")
+    r = agg.ranked(l, ["quality"], [(F.col("doc_id") * 2654435761) % 4294967296, F.col("doc_id")])
+    return r.crossJoin(F.broadcast(few)).where("quality = 0 or rank <= 3 * _m").select("doc_id", "quality")
 
 
 @query("tone_curve", "select p_partkey, trunc(tanh(1.5 * p_size / 50.0) / tanh(1.5::double) * 255)::int as tone from part")
@@ -126,9 +124,13 @@ def tone_curve(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.tone(F.col("p_size") / 50.0, 1.5).alias("tone"))
 
 
-@query("map_inversion", "select user_id, max(k) as k from (select user_id, json_extract(props, '$.k')::bigint as k from events) group by user_id")
+@query("map_inversion", """with m as (select r_name as k, list(n_name order by n_name) as v from region join nation on n_regionkey = r_regionkey group by r_name),
+i as (select unnest(v) as name, k as region from m) select name, region from i""")
 def map_inversion(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("user_id", F.from_json("props", "map<string,bigint>").alias("m")).groupBy("user_id").agg(F.max(F.element_at("m", "k")).alias("k"))
+    """Every nation looked up in the inversion of a map from regions to their nations."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    whole = n.groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("r_name", "v"))).alias("m"))  # regions are few
+    return whole.select(F.explode(scalars.inverted(F.col("m"))).alias("name", "region"))
 
 
 @query("yeo_johnson_fit")
@@ -137,13 +139,18 @@ def yeo_johnson_fit(spark, sf_dir):
     return fit_yeo_johnson(l, "grp", "v", 0.0, 120_000.0, 400)
 
 
-@query("sharpness_noise")
+@query("sharpness_noise", """with p as (select vec_id, i // 8 as y, i % 8 as x, embedding[i + 1]::double as v from embeddings, (select unnest(range(64)) as i)),
+w as (select *, coalesce(lag(v) over r, lead(v) over r) as l, coalesce(lead(v) over r, lag(v) over r) as g, coalesce(lag(v) over c, lead(v) over c) as u, coalesce(lead(v) over c, lag(v) over c) as d
+  from p window r as (partition by vec_id, y order by x), c as (partition by vec_id, x order by y))
+select vec_id, round(avg(sqrt(power((g - l) / 2, 2) + power((d - u) / 2, 2))), 6) as gradient, round(var_pop(l + g + u + d - 4 * v), 6) as sharpness, round(1.4826 * median(abs(v - (l + g + u + d) / 4)), 6) as noise from w group by vec_id""")
 def sharpness_noise(spark, sf_dir):
     from strandline.operators.raster import pixels, sharpness
 
     return sharpness(pixels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1, 8), "vec_id", "b0")
 
 
-@query("knn_regression")
+@query("knn_regression", """with v as (select vec_id, list_transform(embedding, lambda x: x::double) as v, label from embeddings),
+r as (select a.vec_id, list_distance(a.v, b.v) as d, b.label as y, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) as n from v a join v b on a.vec_id <> b.vec_id)
+select vec_id, round(case when count(*) filter (d = 0) > 0 then avg(y) filter (d = 0) else sum(y / d) filter (d > 0) / sum(1 / d) filter (d > 0) end, 6) as mean, count(*) as found from r where n <= 5 group by vec_id""")
 def knn_regression(spark, sf_dir):
     return joins.knn_mean(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 5)

@@ -39,6 +39,28 @@ def hysteresis_states(spark, sf_dir):
     return states(spark, sf_dir).select("site", "ts", "state")
 
 
+#: Every seventh probability is missing: NaN in the frame, null in SQL.
+_HOLES = E + """, h as (select * exclude (p), case when event_id % 7 <> 0 then p end as p from e)"""
+
+
+def _holes(spark, sf_dir):
+    return observations(spark, sf_dir).withColumn("p", F.when(F.col("event_id") % 7 != 0, F.col("p")).otherwise(F.lit(float("nan"))))
+
+
+@query("hysteresis_missing", _HOLES + STATES.format(col="p").replace("from e window", "from h window") + " select site, ts, state from st")
+def hysteresis_missing(spark, sf_dir):
+    return series.hysteresis(_holes(spark, sf_dir), "p", HIGH, LOW, RUN, GAP_H * HOUR_US).select("site", "ts", "state")
+
+
+@query(
+    "smooth_missing",
+    _HOLES + """ select site, ts, round(case when count(*) over (partition by site order by us range between 187199999999 preceding and 1 preceding) > 0
+  then avg(p) over (partition by site order by us range between 187199999999 preceding and 187199999999 following) else p end, 12) as smooth from h""",
+)
+def smooth_missing(spark, sf_dir):
+    return _holes(spark, sf_dir).withColumn("smooth", series.smooth_guarded("p", 2)).select("site", "ts", F.round("smooth", 12).alias("smooth"))
+
+
 CHANGES = """, ch as (
   select *, lag(state) over w as before, lag(us) over w as pus from st window w as (partition by site order by us)),
 mk as (
@@ -177,10 +199,10 @@ def monthly_counts_filled(spark, sf_dir):
 
 @query(
     "hourly_median",
-    E + """ select site, date_trunc('day', ts)::timestamp as day, round(median(value), 6) as median from e where value is not null group by all""",
+    E + """ select site, date_trunc('hour', ts)::timestamp as hour, round(median(value), 6) as median from e where value is not null group by all""",
 )
-def daily_median(spark, sf_dir):
-    o = observations(spark, sf_dir).where("value is not null").groupBy("site", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"))
+def hourly_median(spark, sf_dir):
+    o = observations(spark, sf_dir).where("value is not null").groupBy("site", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
     return o.agg(F.round(F.median("value"), 6).alias("median"))
 
 

@@ -159,7 +159,7 @@ def label_relabel_codes(spark, sf_dir):
     return r.withColumn("label_idx", F.array_position(F.array(*map(F.lit, CLASSES)), F.col("label")) - 1)
 
 
-@query("accuracy_by_group", E + " select site, event_type, count(*) as n, round(avg((p >= 0.5)::int = y), 6) as accuracy from e group by all".replace("avg((p >= 0.5)::int = y)", "avg(((p >= 0.5)::int = y)::int)"))
+@query("accuracy_by_group", E + " select site, event_type, count(*) as n, round(avg(((p >= 0.5)::int = y)::int), 6) as accuracy from e group by all")
 def accuracy_by_group(spark, sf_dir):
     ok = ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int")
     return observations(spark, sf_dir).groupBy("site", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok), 6).alias("accuracy"))
@@ -327,7 +327,7 @@ def kappa(spark, sf_dir):
 
 @query(
     "mad_sigma",
-    "select l_shipmode as grp, round(1.4826 * mad(l_extendedprice), 6) as sigma from lineitem group by 1".replace("l_shipmode", "l_returnflag"),
+    "select l_returnflag as grp, round(1.4826 * mad(l_extendedprice), 6) as sigma from lineitem group by 1",
 )
 def mad_sigma(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), "l_extendedprice")  # noqa: E741
@@ -385,8 +385,8 @@ def micro_macro(spark, sf_dir):
     return m.withColumn("micro_precision", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6))
 
 
-@query("modal_value", """with c as (select site, event_type, count(*) as n from e_ group by all)
-select site, event_type, n from (select *, row_number() over (partition by site order by n desc, event_type desc) as k from c) where k = 1""".replace("with c as (", E + ", c as (").replace("e_", "e"))
+@query("modal_value", E + """, c as (select site, event_type, count(*) as n from e group by all)
+select site, event_type, n from (select *, row_number() over (partition by site order by n desc, event_type desc) as k from c) where k = 1""")
 def modal_value(spark, sf_dir):
     c = observations(spark, sf_dir).groupBy("site", "event_type").agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy("site").agg(F.max(F.struct("n", "event_type")).alias("m")).select("site", "m.event_type", "m.n")
@@ -401,7 +401,7 @@ def span_clip(spark, sf_dir):
 
 
 @query("bounding_box", _POINTS + """ select min(lon) - greatest(0.5, 0.15 * (max(lon) - min(lon))) as west, max(lon) + greatest(0.5, 0.15 * (max(lon) - min(lon))) as east,
-  min(lat) - greatest(0.5, 0.15 * (max(lat) - min(lat))) as south, max(lat) + greatest(0.5, 0.15 * (max(lat) - min(lat))) as north from s""".replace("select min(lon)", "select min(lon)"))
+  min(lat) - greatest(0.5, 0.15 * (max(lat) - min(lat))) as south, max(lat) + greatest(0.5, 0.15 * (max(lat) - min(lat))) as north from s""")
 def bounding_box(spark, sf_dir):
     s, _ = _points(spark, sf_dir)
     pad = lambda c: F.greatest(F.lit(0.5), 0.15 * (F.max(c) - F.min(c)))
@@ -415,7 +415,8 @@ def masked_zonal_percentage(spark, sf_dir):
     return observations(spark, sf_dir).groupBy("site").agg(F.round(pct, 6).alias("clear_percent"))
 
 
-@query("agreement_rate", _PAIR.replace("event_id as a_id, us as a_us", "p as a_p, us as a_us").replace("event_id as b_id, us as b_us, value", "p as b_p, us as b_us") + """
+@query("agreement_rate", E + """, a as (select site, p as a_p, us as a_us from e where event_type = 'purchase'),
+b as (select site, p as b_p, us as b_us from e where event_type = 'view')
 select count(*) as n, round(avg(((a_p >= 0.5) = (b_p >= 0.5))::int), 6) as agreement from a join b using (site) where abs(a_us - b_us) <= 36000000000""")
 def agreement_rate(spark, sf_dir):
     o = observations(spark, sf_dir)

@@ -69,16 +69,19 @@ def date_chunks(spark, sf_dir):
 @query(
     "yeo_johnson",
     """select p_partkey, round((power(p_retailprice + 1, 0.5) - 1) / 0.5, 6) as half, round(ln(p_retailprice + 1), 6) as zero,
-  round(case when p_size - 25 >= 0 then p_size - 25 else -ln(1 - (p_size - 25)) end, 6) as signed from part""".replace("p_size - 25 >= 0 then p_size - 25", "p_size - 25 >= 0 then (power(p_size - 24, 2.0) - 1) / 2"),
+  round(case when p_size - 25 >= 0 then (power(p_size - 24, 2.0) - 1) / 2 else -ln(1 - (p_size - 25)) end, 6) as signed,
+  round(case when p_size - 25 >= 0 then (power(p_size - 24, 0.5) - 1) / 0.5 else -(power(26 - p_size, 1.5) - 1) / 1.5 end, 6) as half_signed,
+  round(((power(p_retailprice + 1, 0.5) - 1) / 0.5) / max((power(p_retailprice + 1, 0.5) - 1) / 0.5) over (), 6) as scaled from part""",
 )
 def yeo_johnson(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     v, s = F.col("p_retailprice"), (F.col("p_size") - 25).cast("double")
-    return p.select("p_partkey", F.round(scalars.yeo_johnson(v, 0.5), 6).alias("half"), F.round(scalars.yeo_johnson(v, 0.0), 6).alias("zero"), F.round(scalars.yeo_johnson(s, 2.0), 6).alias("signed"))
+    return p.select("p_partkey", F.round(scalars.yeo_johnson(v, 0.5), 6).alias("half"), F.round(scalars.yeo_johnson(v, 0.0), 6).alias("zero"), F.round(scalars.yeo_johnson(s, 2.0), 6).alias("signed"), F.round(scalars.yeo_johnson(s, 0.5), 6).alias("half_signed"), scalars.yeo_johnson(v, 0.5).alias("_y")).transform(
+        lambda d: d.crossJoin(F.broadcast(d.agg(F.max("_y").alias("_top")))).withColumn("scaled", F.round(F.col("_y") / F.col("_top"), 6)).drop("_y", "_top")  # one row beside all
+    )
 
 
-_HIST = """with h as (select l_returnflag as grp, least(49, floor((l_discount - 0) / (0.1 / 50)))::int as bin, count(*) as cnt from lineitem where l_discount between 0 and 0.1 group by all)"""
-_HIST = _HIST.replace("l_discount - 0", "l_quantity - 0").replace("0.1 / 50", "50.0 / 50").replace("l_discount between 0 and 0.1", "l_quantity between 0 and 50")
+_HIST = """with h as (select l_returnflag as grp, least(49, floor((l_quantity - 0) / (50.0 / 50)))::int as bin, count(*) as cnt from lineitem where l_quantity between 0 and 50 group by all)"""
 
 
 def _hist(spark, sf_dir):
@@ -114,7 +117,17 @@ def cosine_to_prototype(spark, sf_dir):
     return vectors.cosine_to(e, vectors.mean_vector(e, "label", "u", "proto"), "label", "u", "proto").select("vec_id", "label", F.round("cosine", 6).alias("cosine"))
 
 
-@query("trimmed_prototype")
+#: The mean of the vectors v of a table, and the rows that the next round keeps.
+_TRIM = """m{k} as (select label, pos, avg(x) as m from (select label, unnest(u) as x, generate_subscripts(u, 1) as pos from l{k}) group by all),
+c{k} as (select label, list(m order by pos) as c from m{k} group by label),
+s{k} as (select vec_id, label, u, round(list_sum(list_transform(range(1, 65), lambda i: u[i] / (sqrt(list_sum(list_transform(u, lambda y: y * y))) + 1e-8) * c[i])) / (sqrt(list_sum(list_transform(c, lambda y: y * y))) + 1e-8), 9) as cosine from l{k} join c{k} using (label)),
+l{n} as (select vec_id, label, u from (select *, row_number() over (partition by label order by cosine desc, vec_id) as r, ceil(0.8 * count(*) over (partition by label) - 1e-9) as most from s{k}) where r <= most)"""
+
+
+@query("trimmed_prototype", """with l0 as (select vec_id, label, list_transform(embedding, lambda x: x::double / (sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) + 1e-8)) as u from embeddings),
+""" + _TRIM.format(k=0, n=1) + ", " + _TRIM.format(k=1, n=2) + """,
+f as (select label, pos, avg(x) as v from (select label, unnest(u) as x, generate_subscripts(u, 1) - 1 as pos from l2) group by all)
+select f.label, kept, pos::int as pos, round(v, 9) as value from f join (select label, count(*) as kept from l2 group by label) using (label)""")
 def trimmed_prototype(spark, sf_dir):
     t = vectors.trimmed_prototypes(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.2)
     return t.select("label", "kept", F.posexplode("proto").alias("pos", "value")).withColumn("value", F.round("value", 9))
@@ -124,7 +137,7 @@ def trimmed_prototype(spark, sf_dir):
 select vec_id, label, round(cut, 6) as cut, embedding[1]::double < cut as low from embeddings join q using (label)""")
 def region_quantile_cut(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("v"))
-    cut = e.groupBy("label").agg(F.percentile("v", F.lit(0.35)).alias("cut"))
+    cut = agg.quantiles(e, "label", "v", [0.35]).withColumnRenamed("q0", "cut")
     return e.join(cut, "label").select("vec_id", "label", F.round("cut", 6).alias("cut"), (F.col("v") < F.col("cut")).alias("low"))
 
 
@@ -138,7 +151,14 @@ def composite_score(spark, sf_dir):
     return s.select("vec_id", F.round(vectors.composite(scalars.sigmoid(F.col("cosine")), F.col("cosine"), F.col("cut"), 0.5, 0.3, 0.2), 6).alias("score"))
 
 
-@query("calinski_davies")
+@query("calinski_davies", """with l as (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as pos from embeddings),
+c as (select label, pos, avg(v) as c from l group by all), g as (select pos, avg(v) as g from l group by pos),
+d as (select vec_id, label, sum((v - c) * (v - c)) as d from l join c using (label, pos) group by all),
+k as (select label, count(*) as n, sum(d) as w, avg(sqrt(d)) as s from d group by label),
+b as (select label, sum((c - g) * (c - g)) as b from c join g using (pos) group by label),
+r as (select x.label, max((x.s + y.s) / z.m) as r from k x, k y, (select p.label as a, q.label as b, sqrt(sum((p.c - q.c) * (p.c - q.c))) as m from c p join c q using (pos) group by all) z
+  where x.label <> y.label and z.a = x.label and z.b = y.label group by x.label)
+select round((sum(n * b) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 6) as calinski_harabasz, round((select avg(r) from r), 6) as davies_bouldin from k join b using (label)""")
 def calinski_davies(spark, sf_dir):
     q = vectors.cluster_quality(table(spark, sf_dir, "embeddings"), "label", "embedding")
     return q.select(F.round("calinski_harabasz", 6).alias("calinski_harabasz"), F.round("davies_bouldin", 6).alias("davies_bouldin"))
@@ -202,10 +222,20 @@ def pca(spark, sf_dir):
     return c.select("vec_id", *[F.round(F.abs(F.get("pca", F.lit(i))), 6).alias(f"abs_pc{i + 1}") for i in range(2)])
 
 
-@query("dbscan")
+_SCALED = """with l as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as pos from embeddings),
+m as (select pos, avg(v) as m, stddev_pop(v) as s from l group by pos),
+z as (select vec_id, pos, (v - m) / case when s > 0 then s else 1 end as z from l join m using (pos))"""
+
+
+@query("dbscan", "with recursive " + _SCALED.removeprefix("with ") + """, v as (select vec_id, list(z order by pos) as v from z group by vec_id),
+near as (select a.vec_id as a, b.vec_id as b from v a, v b where list_distance(a.v, b.v) <= 8.5),
+core as (select a from near group by a having count(*) >= 4),
+edge as (select n.a, n.b from near n join core x on x.a = n.a join core y on y.a = n.b),
+reach(a, b) as (select a, b from edge union select reach.a, edge.b from reach join edge on reach.b = edge.a),
+named as (select a, min(b) as l from reach group by a)
+select v.vec_id, coalesce((select l from named where a = v.vec_id), (select min(l) from near n join named m on m.a = n.b where n.a = v.vec_id), -1) as cluster from v""")
 def dbscan(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"))
-    return learn.dbscan(e, "vec_id", "x", "y", 0.05, 5)
+    return learn.dbscan(learn.standardise(table(spark, sf_dir, "embeddings"), "embedding"), "vec_id", "scaled", 8.5, 4)
 
 
 @query("logistic_probability")
@@ -219,9 +249,24 @@ def group_kfold(spark, sf_dir):
     return learn.group_folds(observations(spark, sf_dir), "site", "y", 5)
 
 
-@query("standard_scaler", """with l as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as pos from embeddings),
-m as (select pos, avg(v) as m, stddev_pop(v) as s from l group by pos)
-select vec_id, pos::int as pos, round((v - m) / case when s > 0 then s else 1 end, 6) as z from l join m using (pos) where pos < 8""")
+@query("standard_scaler", _SCALED + " select vec_id, pos::int as pos, round(z, 6) as z from z")
 def standard_scaler(spark, sf_dir):
     z = learn.standardise(table(spark, sf_dir, "embeddings"), "embedding")
-    return z.select("vec_id", F.posexplode(F.slice("scaled", 1, 8)).alias("pos", "z")).withColumn("z", F.round("z", 6))
+    return z.select("vec_id", F.posexplode("scaled").alias("pos", "z")).withColumn("z", F.round("z", 6))
+
+
+@query("kmeans_sweep")
+def kmeans_sweep(spark, sf_dir):
+    return learn.cluster_sweep(table(spark, sf_dir, "embeddings"), "embedding", range(2, 11))
+
+
+@query("kmeans_of_inliers")
+def kmeans_of_inliers(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("outlier", F.get("embedding", F.lit(0)) > 0.25)
+    return learn.clusters_of_inliers(e, "embedding", "outlier", 5).select("vec_id", "cluster")
+
+
+@query("forest_probability")
+def forest_probability(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") == 0).cast("double"))
+    return learn.forest(e, "embedding", "y").select("vec_id", F.round("prob", 6).alias("prob"))

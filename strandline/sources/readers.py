@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,12 +95,45 @@ def catalog(spark: SparkSession, roots: list[str], pattern: str = "*_SR_clip.tif
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct non-blank lines of a text file."""
-    return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''").distinct()
+    """Distinct non-blank ids: lines of a text file, or the column ``site_no`` (else the first) of a CSV file."""
+    if path.endswith(".csv"):
+        table = spark.read.option("header", True).csv(path)
+        values = table.select(F.trim("site_no" if "site_no" in table.columns else table.columns[0]).alias("id"))
+    else:
+        values = spark.read.text(path).select(F.trim("value").alias("id"))
+    return values.where("id <> ''").distinct()
 
 
 def acquired(columns: list[str], path: str = "source_tif") -> Column:
-    """The acquisition time: its own column where present, else parsed from the path."""
+    """The acquisition time: its own column where present and valid, else parsed from the path."""
     from strandline.functions.timeparts import from_stem
 
-    return F.coalesce(F.col("acquired").try_cast("timestamp_ntz"), from_stem(F.col(path))) if "acquired" in columns else from_stem(F.col(path))
+    own = F.col("acquired").cast("string").try_cast("timestamp_ntz")
+    return F.coalesce(own, from_stem(F.col(path))) if "acquired" in columns else from_stem(F.col(path))
+
+
+def with_acquired(df: DataFrame, path: str = "source_tif") -> tuple[DataFrame, int]:
+    """df with a valid ``acquired``, and how many rows had none and were dropped."""
+    timed = df.withColumn("acquired", acquired(df.columns, path))
+    return timed.where("acquired is not null"), timed.where("acquired is null").count()
+
+
+def profile(spark: SparkSession, path: str, keys: list[str]) -> Column:
+    """map<string, string> literal of the given keys of a YAML file, which the driver reads as one small text."""
+    import yaml
+
+    found = yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())) or {}
+    kept = {k: str(v) for k, v in found.items() if k in keys}
+    return F.create_map(*[F.lit(x) for pair in sorted(kept.items()) for x in pair]).cast("map<string,string>")
+
+
+def arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, values): one flat array of doubles for each .npy file, named by the file's stem."""
+    import numpy as np
+
+    @F.pandas_udf("array<double>")
+    def flat(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: np.load(io.BytesIO(b), allow_pickle=False).astype(float).ravel())
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", r"([^/]*)\.npy$", 1).alias("stem"), flat("content").alias("values"))

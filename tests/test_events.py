@@ -1,6 +1,8 @@
 """Matching over all sites, those without events and long ones included, against brute force."""
 
 import datetime
+import itertools
+import math
 import random
 
 import numpy as np
@@ -58,15 +60,63 @@ def test_every_site_has_a_row(spark, quiet):
         assert all(got[s].mae_days is None for s in sites[6:])
     assert {r.site for r in event_queries.optimal_match(spark, quiet).collect()} == set(sites)
     total = event_queries.micro_macro_events(spark, quiet).first()
-    assert abs(total.macro_f1 - sum(w[3] for w in want.values()) / len(sites)) < 1e-12
+    assert abs(total.macro_f1 - sum(w[3] for w in want.values()) / len(sites)) < 1e-9
+
+
+def likeliest(hours, probs, tau_open, tau_closed, gap, trust, segments):
+    """Best path of every segment by its whole probability, all paths compared; segments go one after the other."""
+    q = [trust * min(max(0.5 if p is None else p, 1e-6), 1 - 1e-6) + (1 - trust) * 0.5 for p in probs]
+    cut = [i > 0 and hours[i] - hours[i - 1] > gap for i in range(len(q))]
+    starts = [i for i in range(len(q)) if i == 0 or (cut[i] if segments == "after_gap" else cut[i - 1])]
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(q)], strict=True):
+        seed = out[-1] if out else int(q[0] >= 0.5)
+        best = None
+        for path in itertools.product((0, 1), repeat=b - a):
+            score = math.log((0.8 if path[0] == seed else 0.2) + 1e-6)
+            for i, s in enumerate(path, a):
+                score += math.log(q[i] if s else 1 - q[i])
+                if i > a:
+                    stay = math.exp(-(hours[i] - hours[i - 1]) / (tau_open if path[i - 1 - a] else tau_closed))
+                    score += math.log(max(stay if s == path[i - 1 - a] else 1 - stay, 1e-6))
+            if best is None or score > best[0] + 1e-9:
+                best = score, path
+        out += best[1]
+    return out
+
+
+@pytest.mark.parametrize("segments", ["after_gap", "reference"])
+def test_viterbi_is_the_likeliest_path_in_any_chunks(spark, segments):
+    r = random.Random(3)
+    rows, want = [], {}
+    for site in range(12):
+        hours, probs, t = [], [], 0.0
+        for _ in range(r.choice([1, 2, 9, 14])):
+            t += r.choice([1.0, 6.0, 20.0, 70.0, 200.0]) + r.random()
+            hours.append(round(t, 3))
+            probs.append(r.choice([None, r.random(), r.random() ** 4, 1 - r.random() ** 4]))
+        rows += [(site, int(h * 3.6e9), p if p is None or i % 5 else (p or float("nan"))) for i, (h, p) in enumerate(zip(hours, probs, strict=True))]
+        want[site] = likeliest(hours, probs, 60.0, 30.0, 72.0, 0.9, segments)
+    df = spark.createDataFrame(rows, "site long, us long, p double")
+    for chunk in (1, 3, 4096):
+        got = {}
+        for x in sorted(events.hmm_states(df, "p", 60.0, 30.0, 72.0, 0.9, segments=segments, chunk=chunk).collect()):
+            got.setdefault(x.site, []).append(x.state)
+        assert got == want
+
+
+def test_viterbi_keeps_a_lone_outlier_out(spark):
+    df = spark.createDataFrame([(1, int(i * 24 * 3.6e9), p) for i, p in enumerate([0.1, 0.1, 0.8, 0.1, 0.1, 0.1])], "site long, us long, p double")
+    assert [x.state for x in events.hmm_states(df, "p", 200.0, 200.0, 96.0).collect()] == [0] * 6
+    assert events.hmm_states(df.limit(0), "p").count() == 0
 
 
 def test_leave_one_out_counts_every_site(spark, quiet):
     o = observations(spark, quiet)
-    truth = by_site(series.change_events(series.hysteresis(o.withColumn("y", F.col("y").cast("double")), "y", 0.7, 0.3, 2, 24 * HOUR_US), "state", 24 * HOUR_US))
+    truth = by_site(series.change_events(series.hysteresis(o.withColumn("y", F.col("y").cast("double")), "y", 0.65, 0.45, 2, 24 * HOUR_US), "state", 24 * HOUR_US))
     sites, scores = [*range(6), *range(100, 104)], {}
-    for k, opened, closed in event_queries.GRID:
-        found = by_site(series.change_events(events.hmm_states(o, "p", opened, closed, 24), "state", 24 * HOUR_US))
+    for k, (opened, closed, trust) in enumerate(event_queries.GRID):
+        found = by_site(series.change_events(events.hmm_states(o, "p", opened, closed, 24, trust), "state", 24 * HOUR_US))
         scores[k] = {s: by_hand(truth.get(s, []), found.get(s, []), True) for s in sites}
     got = {r.site: (r.param, r.tp, r.fp, r.fn) for r in event_queries.loso_search(spark, quiet).collect()}
     for s in sites:
@@ -75,6 +125,27 @@ def test_leave_one_out_counts_every_site(spark, quiet):
         assert got[s] == (best, *scores[best][s][:3])
 
 
+def pairings(truth, found, tolerance):
+    """Every way to pair truths with founds within the tolerance, as (pairs, total distance)."""
+    if not truth:
+        yield 0, 0.0
+        return
+    yield from pairings(truth[1:], found, tolerance)
+    for i, f in enumerate(found):
+        if abs(f - truth[0]) <= tolerance:
+            for n, cost in pairings(truth[1:], found[:i] + found[i + 1 :], tolerance):
+                yield n + 1, cost + abs(f - truth[0])
+
+
+def test_optimal_match_is_the_best_of_all_pairings():
+    r = random.Random(8)
+    for _ in range(200):
+        a, b = (sorted(float(r.randrange(30)) for _ in range(r.randrange(6))) for _ in range(2))
+        n, cost = min(pairings(a, b, 5.0), key=lambda x: (-x[0], x[1]))
+        got = events.match_optimal(np.array(a), np.array(b), 5.0)
+        assert got[0] == n and abs(got[1] - cost) < 1e-9
+
+
 def whole_table(truth, found, tolerance):
     """The optimal match over the full table of both lists."""
     best = [(0, 0.0)] * (len(found) + 1)

@@ -109,8 +109,8 @@ def test_gaps(spark):
 
 def test_nearest_in_time_takes_the_earlier(spark):
     left = spark.createDataFrame([(1, 2)], "k int, t long")
-    right = spark.createDataFrame([(1, "a"), (3, "b")], "u long, v string")
-    assert joins.asof_nearest(left, right, "t", "u", ["v"]).first().v == "a"
+    right = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (2, 2, "c")], "k int, u long, v string")
+    assert joins.asof_nearest(left, right, "t", "u", ["v"], "k").first().v == "a"
 
 
 def test_band_is_closed(spark):
@@ -127,9 +127,3 @@ def test_times(spark):
     assert one.select(from_stem(F.lit("bad.tif"))).first()[0] is None
     clock = F.lit("2022-02-01 10:00:00").cast("timestamp_ntz")
     assert [str(one.select(to_utc(clock, F.lit(z))).first()[0])[11:13] for z in ("PST", "PDT", "UTC", "?")] == ["18", "17", "10", "10"]
-
-
-def test_viterbi_keeps_a_lone_outlier_out():
-    t = np.arange(6) * 24 * H
-    assert events.viterbi(t, np.array([0.1, 0.1, 0.8, 0.1, 0.1, 0.1]), 200, 200, 96).tolist() == [0] * 6
-    assert len(events.viterbi(np.array([], int), np.array([]), 72, 72, 72)) == 0

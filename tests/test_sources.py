@@ -4,7 +4,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from strandline.operators import learn
 from strandline.sources import readers, writers
 from strandline.streaming import series as streaming
 
@@ -51,7 +50,28 @@ def test_streaming_buckets(spark, tmp_path):
     assert sorted((r.n, r.mean) for r in spark.sql("select * from b").collect()) == [(1, 9.0), (2, 2.0)]
 
 
-def test_dbscan(spark):
-    pts = [(i, x, 0.0) for i, x in enumerate([0, 0.1, 0.2, 5, 5.1, 5.2, 9])]
-    got = {r.i: r.cluster for r in learn.dbscan(spark.createDataFrame(pts, "i long, x double, y double"), "i", "x", "y", 0.15, 2).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: -1}
+def test_more_sources_and_sinks(spark, tmp_path):
+    import numpy as np
+
+    np.save(tmp_path / "a1.npy", np.arange(4).reshape(2, 2))
+    assert [(r.stem, r["values"]) for r in readers.arrays(spark, str(tmp_path)).collect()] == [("a1", [0.0, 1.0, 2.0, 3.0])]
+    (tmp_path / "p.yaml").write_text("count: 4\ndtype: uint16\ndriver: x\n")
+    assert spark.range(1).select(readers.profile(spark, str(tmp_path / "p.yaml"), ["count", "dtype", "none"])).first()[0] == {"count": "4", "dtype": "uint16"}
+    (tmp_path / "s.csv").write_text("name,site_no\nx,07\ny, 08\nz,\nw,07\n")
+    assert sorted(r.id for r in readers.id_list(spark, str(tmp_path / "s.csv")).collect()) == ["07", "08"]
+    df = spark.createDataFrame([("r/20240102_030405_x.tif", None, 1), ("r/none.tif", "2024-05-06 07:08:09", 1), ("r/none.tif", "?", 2)], "source_tif string, acquired string, k int")
+    kept, dropped = readers.with_acquired(df)
+    assert dropped == 1 and sorted(str(r.acquired) for r in kept.collect()) == ["2024-01-02 03:04:05", "2024-05-06 07:08:09"]
+    assert readers.with_acquired(df.drop("acquired"))[1] == 2
+    writers.csv(df, str(tmp_path / "c"))
+    back = readers.labels_csv(spark, str(tmp_path / "c"), "source_tif string, acquired string, k int")
+    assert sorted(map(tuple, back.fillna("").collect())) == sorted(map(tuple, df.fillna("").collect()))
+    assert writers.missing_only(df, spark.createDataFrame([(1,)], "k int"), ["k"]).count() == 1
+    writers.site_metadata(df, str(tmp_path / "m"), ["k"])
+    assert sorted(r.k for r in spark.read.json(str(tmp_path / "m")).collect()) == [1, 2]
+    writers.task_lines(df, str(tmp_path / "t"), "source_tif", ["k"])
+    assert {json.loads(r.value)["data"]["meta"]["k"] for r in spark.read.text(str(tmp_path / "t")).collect()} == {1, 2}
+    writers.per_key_csv(df, str(tmp_path / "k"), ["k"])
+    assert sorted(p.name for p in (tmp_path / "k").iterdir() if p.is_dir()) == ["k=1", "k=2"]
+    whole = json.loads(writers.feature_collection(spark.createDataFrame([("n", 1.0, 2.0), ("m", 3.0, 4.0)], "name string, lon double, lat double"), "lon", "lat").first()[0])
+    assert whole["type"] == "FeatureCollection" and [f["properties"]["name"] for f in whole["features"]] == ["m", "n"]
