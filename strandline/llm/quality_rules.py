@@ -54,6 +54,8 @@ def _best_conditions(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: lis
         return out
     base = np.log2(p0 / (p0 + n0))
     for k, name in enumerate(names):
+        if not len(cuts[k]):
+            continue
         where = np.searchsorted(cuts[k], x[:, k], side="left")  # x > cuts[j] where j < where
         low_p, low_n = (np.cumsum(np.bincount(where[m], minlength=len(cuts[k]) + 1))[:-1] for m in (bad, ~bad))
         for above, p, n in ((True, p0 - low_p, n0 - low_n), (False, low_p, low_n)):
@@ -89,6 +91,13 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray, names: list[str]) -> tupl
     return best, prec, cover
 
 
+def _between(all_: np.ndarray, bad: np.ndarray, grid: int) -> np.ndarray:
+    """Cut points half-way between neighbouring quantiles of all rows and of the bad ones, so that a cut keeps clear of either side."""
+    levels = np.linspace(0, 1, grid)
+    values = np.unique(np.concatenate([np.quantile(all_, levels, method="nearest"), np.quantile(bad, levels, method="nearest")]))
+    return (values[1:] + values[:-1]) / 2
+
+
 def learn(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.97, min_cover: int = 3, grid: int = 48) -> list[Rule]:
     """The decision list for rows marked bad; empty where there is too little to learn from."""
     rules: list[Rule] = []
@@ -98,7 +107,7 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int = 12,
         grow, prune = open_ & ~turn, open_ & turn
         if (bad & grow).sum() < min_cover or not (~bad & grow).any():
             break
-        cuts = [np.unique(np.concatenate([np.quantile(x[grow, k], np.linspace(0, 1, grid)), np.quantile(x[grow & bad, k], np.linspace(0, 1, grid))])) for k in range(len(names))]
+        cuts = [_between(x[grow, k], x[grow & bad, k], grid) for k in range(len(names))]
         # A rule is grown from the best condition of every statistic; the one that covers most and is precise enough stays.
         best: tuple[int, Rule] | None = None
         for _, first in _best_conditions(x[grow], bad[grow], names, cuts):
