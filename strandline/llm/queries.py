@@ -18,6 +18,7 @@ def _vocabulary(name: str) -> tuple[str, str]:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the bytes they decode to, as digests; null text is empty, equal texts have equal rows."""
     path, pattern = _vocabulary("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
     both = docs.select("doc_id", "ids", bpe.decode(F.col("ids"), path, pattern).alias("raw"))
@@ -30,6 +31,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, repeated rows each; null text is empty, equal texts score alike."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.classify(docs.select("doc_id", "text"), model, keep=["doc_id"])
@@ -37,6 +39,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as GIF frames and read back; null text is empty, a payload of 64 zeros. The feature is the number of frames, their time and the colour histogram."""
     docs = table(spark, sf_dir, "documents")
     raw = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload"))
     stored = raw.select("doc_id", "n_bytes", media.to_gif(F.col("payload")).alias("media"))
@@ -55,11 +58,13 @@ def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of nearly equal bytes, equal texts next to each other; null text has no bytes."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document (three-word shingles, 0.9); null and blank texts are alone, rows that repeat an id are one document."""
     return ngram_join.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
@@ -73,6 +78,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and all spans of every document; null text has none, equal texts have equal spans."""
     docs = table(spark, sf_dir, "documents")
     found = pii.detect(docs.select("doc_id", "text"), pii.fit(docs), keep=["doc_id"])
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -81,6 +87,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, repeated rows each; null text is empty, equal texts score alike."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
@@ -88,11 +95,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every whole text; null and empty texts have none."""
     path, _ = _vocabulary("piece_bpe_32k.model")
     return table(spark, sf_dir, "documents").select("doc_id", token_counts.count(F.col("text"), path).alias("c")).select("doc_id", "c.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; null and empty texts have no words and fail the base test."""
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     judged = quality_rules.judge(docs.select("doc_id", "text"), rules, keep=["doc_id"])
