@@ -74,7 +74,7 @@ class Encoder:
         return b"".join(np.array(self.encoding.encode_ordinary(x), "<u4").tobytes() for x in safe_pieces(text))
 
     def encode(self, text: str) -> bytes:
-        if self.cuts is None or not self.cuts.search(text):
+        if not any(x in text for x in self.special):
             return self._ordinary(text)
         return b"".join(self.special.get(x) or self._ordinary(x) for x in self.cuts.split(text))
 
