@@ -1,11 +1,14 @@
 """Matching of event lists and decoding that depends on its own past, in pandas calls.
 
-Events are matched in chains, cut where no match can cross, and series decoded in chunks of samples,
-so a site of any size is many groups. Everything around the calls (windows, metrics) stays built-in.
+Events are matched in chains, cut where no match can cross, and series decoded in chunks of samples.
+Both are dealt over partitions and stream through the calls in order, so a site of any size is many
+tasks and none holds it whole. Everything around the calls (windows, metrics) stays built-in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,34 +58,56 @@ def match_events(truth: DataFrame, found: DataFrame, tolerance_us: int, optimal:
     """Per key: tp, fp, fn and mae_days (null without pairs) of events (key, event_us, new_state), by direction.
 
     The events of both sides in one direction are cut into chains where consecutive ones are further
-    apart than the tolerance: no match crosses a cut. A pandas call takes up to 64 chains of a key.
+    apart than the tolerance: no match crosses a cut. Chains are dealt to partitions 64 of a key at a
+    time and matched as they stream by; only the chain at hand is held.
     """
 
-    def per_part(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        tp, total = 0, 0
-        for _, c in g.groupby("_chain"):
-            a = np.sort(c.event_us[c._truth].to_numpy("int64")) / 1e6
-            b = np.sort(c.event_us[~c._truth].to_numpy("int64")) / 1e6
-            if not len(a) or not len(b):
-                continue
-            if optimal:
-                n, cost = match_optimal(a, b, tolerance_us / 1e6)
-            else:
-                n, apart = match_greedy(a, b, tolerance_us / 1e6)
-                cost = sum(np.floor(apart))
-            tp, total = tp + n, total + round(cost * 1e6)
-        n = int(g._truth.sum())
-        return pd.DataFrame({key: [k[0]], "tp": [tp], "fp": [len(g) - n - tp], "fn": [n - tp], "us": [total]})
+    def sums(chains: pd.DataFrame) -> pd.DataFrame:
+        """tp, fp, fn and microseconds of each key among whole chains that lie one after the other."""
+        keys, us, truths = chains[key].to_numpy(), chains.event_us.to_numpy("int64") / 1e6, chains._truth.to_numpy(bool)
+        starts = np.flatnonzero(_new_chain(chains))
+        out = []
+        for x, y in zip(starts, [*starts[1:], len(chains)], strict=True):
+            t, f = us[x:y][truths[x:y]], us[x:y][~truths[x:y]]
+            tp, total = 0, 0
+            if len(t) and len(f):
+                if optimal:
+                    tp, cost = match_optimal(t, f, tolerance_us / 1e6)
+                else:
+                    tp, apart = match_greedy(t, f, tolerance_us / 1e6)
+                    cost = sum(np.floor(apart))
+                total = round(cost * 1e6)
+            out.append((keys[x], tp, len(f) - tp, len(t) - tp, total))
+        return pd.DataFrame(out, columns=[key, "tp", "fp", "fn", "us"]).groupby(key, as_index=False).sum()
+
+    def _new_chain(c: pd.DataFrame) -> np.ndarray:
+        same = np.ones(max(0, len(c) - 1), bool)
+        for name in (key, "new_state", "_chain"):
+            v = c[name].to_numpy()
+            same &= v[1:] == v[:-1]
+        return np.concatenate([[True], ~same])[: len(c)]
+
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            c = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            last = int(np.flatnonzero(_new_chain(c))[-1]) if len(c) else 0
+            if last:
+                yield sums(c.iloc[:last])
+            rest = c.iloc[last:]  # its chain may go on in the next batch
+        if rest is not None and len(rest):
+            yield sums(rest)
 
     kind = dict(truth.dtypes)[key]
     cols = [key, "event_us", "new_state"]
-    both = truth.select(*cols, F.lit(True).alias("_truth")).unionByName(found.select(*cols, F.lit(False).alias("_truth")))
+    both = truth.select(*cols, F.lit(True).alias("_truth")).unionByName(found.select(*cols, F.lit(False).alias("_truth"))).where(F.col(key).isNotNull())
     w = Window.partitionBy(key, "new_state").orderBy("event_us")
     both = both.withColumn("_cut", F.when(F.col("event_us") - F.lag("event_us").over(w) <= tolerance_us, 0).otherwise(1))
-    both = both.withColumn("_chain", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_part", F.floor(F.col("_chain") / 64))
-    parts = both.select(*cols, "_truth", "_chain", "_part").groupBy(key, "new_state", "_part").applyInPandas(per_part, f"{key} {kind}, tp bigint, fp bigint, fn bigint, us bigint")
-    sums = parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "us")])
-    return sums.select(key, "tp", "fp", "fn", F.when(F.col("tp") > 0, F.col("us") / 1e6 / F.col("tp") / 86400).alias("mae_days"))
+    both = both.withColumn("_chain", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut").withColumn("_part", F.floor(F.col("_chain") / 64))
+    dealt = both.repartition(key, "new_state", "_part").sortWithinPartitions(key, "new_state", "_chain", "event_us")
+    parts = dealt.drop("_part").mapInPandas(matched, f"{key} {kind}, tp bigint, fp bigint, fn bigint, us bigint")
+    total = parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "us")])
+    return total.select(key, "tp", "fp", "fn", F.when(F.col("tp") > 0, F.col("us") / 1e6 / F.col("tp") / 86400).alias("mae_days"))
 
 
 def of_every(matched: DataFrame, keys: DataFrame, key: str = "site") -> DataFrame:
@@ -171,7 +196,7 @@ def hmm_states(
     w = Window.partitionBy(key).orderBy("us", "q")
     q = F.greatest(F.lit(FLOOR), F.least(F.lit(1 - FLOOR), F.coalesce(missing(F.col(p).cast("double")), F.lit(0.5))))
     q = lit(reliability) * q + (1 - lit(reliability)) * 0.5
-    rows = df.select(key, "us", q.alias("q"), lit(tau_open_h).alias("open"), lit(tau_closed_h).alias("closed"))
+    rows = df.where(F.col(key).isNotNull()).select(key, "us", q.alias("q"), lit(tau_open_h).alias("open"), lit(tau_closed_h).alias("closed"))
     hours, number = (F.col("us") - F.lag("us").over(w)) / 3.6e9, F.row_number().over(w) - 1
     rows = rows.withColumns({"hours": F.coalesce(hours, F.lit(0.0)), "number": number}).withColumn("gap", F.col("hours") > gap_h)
     after = {"after_gap": F.col("gap"), "reference": F.coalesce(F.lag("gap").over(w), F.lit(False))}[segments]
@@ -183,35 +208,52 @@ def hmm_states(
     )
     columns = ["start", "first", "e", "s0", "m0", "s1", "m1"]
 
-    def summary(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        f = ("line", -np.inf, np.inf, 1.0, 0.0)
-        for x in g.sort_values("number")[columns].itertuples(index=False, name=None):
-            f = _then(f, *x)
-        return pd.DataFrame([(k[0], k[1], *f)], columns=[key, "chunk", "kind", "a", "b", "c", "d"])
-
-    def chain(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        d, leads = 0.0, []
-        g = g.sort_values("chunk")
-        for f in g[["kind", "a", "b", "c", "d"]].itertuples(index=False, name=None):
-            leads.append(d)
-            d = _at(f, d)
-        return pd.DataFrame({key: k[0], "chunk": g.chunk, "lead": leads})
-
-    def pointers(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("number")
-        d, out = float(g.lead.iloc[0]), []
-        for x in g[columns].itertuples(index=False, name=None):
-            start, _, _, s0, m0, s1, m1 = x
-            out.append((0, 0) if start else (int(d + m1 > s0), int(d + s1 > m0)))
-            d = _at(_then(("line", -np.inf, np.inf, 1.0, 0.0), *x), d)
-            out[-1] += (int(d > 0),)
-        back = np.array(out, np.int64).reshape(-1, 3)
-        return pd.DataFrame({key: g[key], "us": g.us, "number": g.number, "start": g.start, "from0": back[:, 0], "from1": back[:, 1], "top": back[:, 2]})
-
-    parts = steps.groupBy(key, "chunk")
-    leads = parts.applyInPandas(summary, f"{key} {kind}, chunk bigint, kind string, a double, b double, c double, d double")
-    leads = leads.groupBy(key).applyInPandas(chain, f"{key} {kind}, chunk bigint, lead double")
-    made = steps.join(leads, [key, "chunk"]).groupBy(key, "chunk").applyInPandas(pointers, f"{key} {kind}, us bigint, number bigint, start boolean, from0 int, from1 int, top int")
+    whole = ("line", -np.inf, np.inf, 1.0, 0.0)
+
+    def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, f = None, whole
+        for g in batches:
+            out = []
+            for k, c, *x in g[[key, "chunk", *columns]].itertuples(index=False, name=None):
+                if (k, c) != at:
+                    if at is not None:
+                        out.append((*at, *f))
+                    at, f = (k, c), whole
+                f = _then(f, *x)
+            yield pd.DataFrame(out, columns=[key, "chunk", "kind", "a", "b", "c", "d"])
+        if at is not None:
+            yield pd.DataFrame([(*at, *f)], columns=[key, "chunk", "kind", "a", "b", "c", "d"])
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, d = None, 0.0
+        for g in batches:
+            out = []
+            for k, c, *f in g[[key, "chunk", "kind", "a", "b", "c", "d"]].itertuples(index=False, name=None):
+                if k != at:
+                    at, d = k, 0.0
+                out.append((k, c, d))
+                d = _at(tuple(f), d)
+            yield pd.DataFrame(out, columns=[key, "chunk", "lead"])
+
+    def pointers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, d = None, 0.0
+        for g in batches:
+            out = np.zeros((len(g), 3), np.int64)
+            for i, (k, c, lead, *x) in enumerate(g[[key, "chunk", "lead", *columns]].itertuples(index=False, name=None)):
+                if (k, c) != at:
+                    at, d = (k, c), lead
+                start, _, _, s0, m0, s1, m1 = x
+                if not start:
+                    out[i, :2] = d + m1 > s0, d + s1 > m0
+                d = _at(_then(whole, *x), d)
+                out[i, 2] = d > 0
+            yield pd.DataFrame({key: g[key], "us": g.us, "number": g.number, "start": g.start, "from0": out[:, 0], "from1": out[:, 1], "top": out[:, 2]})
+
+    # Rows stream by in order, dealt by chunk; a call holds one batch and the chunk's function or lead.
+    dealt = lambda df: df.repartition(key, "chunk").sortWithinPartitions(key, "chunk", "number")
+    functions = dealt(steps).mapInPandas(summaries, f"{key} {kind}, chunk bigint, kind string, a double, b double, c double, d double")
+    leads = functions.repartition(key).sortWithinPartitions(key, "chunk").mapInPandas(chained, f"{key} {kind}, chunk bigint, lead double")
+    made = dealt(steps.join(leads, [key, "chunk"])).mapInPandas(pointers, f"{key} {kind}, us bigint, number bigint, start boolean, from0 int, from1 int, top int")
     # Seen from the next sample, a state is known, that of the next sample, or its opposite.
     back = Window.partitionBy(key).orderBy(F.desc("number"))
     last = F.coalesce(F.lag("start").over(back), F.lit(True))

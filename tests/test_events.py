@@ -179,19 +179,37 @@ def test_matching_in_chains(spark):
         assert abs(got.mae_days - total / tp / 86400) < 1e-9
 
 
-def test_a_large_site_is_many_groups(spark):
-    """The groups that reach Python hold a part of a site's events: their number grows with the events."""
+def test_chains_and_chunks_go_on_in_the_next_batch(spark):
+    """Batches of a few rows: chains and chunks are longer than what a call sees at once."""
+    r = random.Random(7)
+    sides = [spark.createDataFrame([(k, r.randrange(400) * 1_000_000, r.randrange(2)) for k in range(5) for _ in range(150)], "site long, event_us long, new_state int") for _ in range(2)]
+    probs = spark.createDataFrame([(k, int(i * 5 * 3.6e9), r.random()) for k in range(3) for i in range(200)], "site long, us long, p double")
+    want = sorted(events.match_events(*sides, 3_000_000).collect()), sorted(events.hmm_states(probs, "p", chunk=50).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(events.match_events(*sides, 3_000_000).collect()), sorted(events.hmm_states(probs, "p", chunk=50).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_a_large_site_is_many_tasks(spark):
+    """What reaches Python is dealt by parts of a site's events, so one site fills several partitions."""
     rows = [(7, i * 1_000_000_000, i % 2) for i in range(4000)]
     df = spark.createDataFrame(rows, "site long, event_us long, new_state int")
     sizes = []
-    real = type(df.groupBy("site")).applyInPandas
+    real = type(df).mapInPandas
 
     def counted(self, f, schema):
-        sizes.extend(r[0] for r in self.count().select("count").collect())
+        sizes.extend(r[0] for r in self.groupBy(F.spark_partition_id()).count().select("count").collect())
         return real(self, f, schema)
 
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(type(df.groupBy("site")), "applyInPandas", counted)
-        got = events.match_events(df, df, 1_000_000).first()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(type(df), "mapInPandas", counted)
+            got = events.match_events(df, df, 1_000_000).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert (got.tp, got.fp, got.fn) == (4000, 0, 0)
-    assert sizes and max(sizes) <= 128
+    assert sum(sizes) == 8000 and max(sizes) < 5000
