@@ -108,3 +108,9 @@ def inverted(m: Column) -> Column:
 def plain_spaces(text: Column) -> Column:
     """Without zero-width spaces, narrow no-break spaces as plain ones, and trimmed."""
     return F.trim(F.translate(F.replace(text, F.lit("\u200b"), F.lit("")), "\u202f", " "))
+
+
+def reshaped(a: Column, width: int) -> Column:
+    """The flat array as rows of ``width`` elements; the last row may be shorter, an empty array has none."""
+    starts = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(width))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(a, i, width))

@@ -59,7 +59,12 @@ def histogram_floor(hist: DataFrame, key: str, least: int) -> DataFrame:
     return hist.withColumn("cnt", F.floor(F.col("cnt") / unit))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], slices: int = 64) -> DataFrame:
+def shuffles(df: DataFrame) -> int:
+    """As many ranges as the session has shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], slices: int | None = None) -> DataFrame:
     """df with ``rank`` (from 1) and ``total`` (rows) within its keys, by ascending order, which should be total.
 
     Rows are dealt to ranges of keys and order and written once; ranks within a range are lifted by the
@@ -67,7 +72,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], slices: int = 64
     """
     k, o = [f"k{i}" for i in range(len(keys))], [f"o{i}" for i in range(len(order))]
     named = [F.col(x).alias(n) for x, n in zip(keys, k, strict=True)] + [x.alias(n) for x, n in zip(order, o, strict=True)]
-    dealt = materialise(df.select(F.struct(*df.columns).alias("row"), *named).repartitionByRange(slices, *k, *o).withColumn("part", F.spark_partition_id()))
+    dealt = materialise(df.select(F.struct(*df.columns).alias("row"), *named).repartitionByRange(slices or shuffles(df), *k, *o).withColumn("part", F.spark_partition_id()))
     per = dealt.groupBy(*k, "part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range, and one more for each key
     w = Window.partitionBy(*k)
     lifts = per.select(*k, "part", (F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(w).alias("total"))
@@ -76,7 +81,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], slices: int = 64
     return numbered.alias("a").join(lifts.alias("b"), same).select("a.row.*", (F.col("b.before") + F.col("a.inside")).alias("rank"), F.col("b.total").alias("total"))
 
 
-def quantiles(df: DataFrame, key: str, value: str, q: list[float], slices: int = 64) -> DataFrame:
+def quantiles(df: DataFrame, key: str, value: str, q: list[float], slices: int | None = None) -> DataFrame:
     """(key, q0, q1, ...): exact quantiles, linear between neighbours; null and NaN values don't count.
 
     Values are counted first, and running counts taken over ranges of (key, value) lifted by their totals:
@@ -84,7 +89,7 @@ def quantiles(df: DataFrame, key: str, value: str, q: list[float], slices: int =
     """
     v = missing(F.col(value).cast("double"))
     counts = df.select(F.col(key).alias("k"), v.alias("v")).where("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    dealt = materialise(counts.repartitionByRange(slices, "k", "v").withColumn("part", F.spark_partition_id()))
+    dealt = materialise(counts.repartitionByRange(slices or shuffles(df), "k", "v").withColumn("part", F.spark_partition_id()))
     w = Window.partitionBy("k")
     lifts = dealt.groupBy("k", "part").agg(F.sum("n").alias("_n")).select("k", "part", (F.sum("_n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("before"), F.sum("_n").over(w).alias("total"))
     run = F.sum("n").over(Window.partitionBy("part", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))

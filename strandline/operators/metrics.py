@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import missing
+from strandline.operators.agg import shuffles
 from strandline.storage import materialise
 
 
@@ -39,14 +40,14 @@ def by_score(df: DataFrame, score: str, y: str) -> DataFrame:
     return df.where(known(score) & F.col(y).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
 
 
-def _curve(df: DataFrame, score: str, y: str, slices: int) -> DataFrame:
+def _curve(df: DataFrame, score: str, y: str, slices: int | None) -> DataFrame:
     """(score, pos, n, tp, k, all): running sums of positives and rows from the highest score down.
 
     Distinct scores are dealt to ranges of equal size, whatever their distribution; running sums within
     a range are lifted by the ranges' totals, so no task sorts all scores. The counts by score are
     written once, since ranges are drawn from them.
     """
-    s = by_score(df, score, y).repartitionByRange(slices, F.desc("score")).withColumn("_s", F.spark_partition_id())
+    s = by_score(df, score, y).repartitionByRange(slices or shuffles(df), F.desc("score")).withColumn("_s", F.spark_partition_id())
     cut = materialise(s)
     above = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy("_s").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))  # one row a range
@@ -56,20 +57,20 @@ def _curve(df: DataFrame, score: str, y: str, slices: int) -> DataFrame:
     return run.select("score", "pos", "n", (F.col("_p") + F.col("_rp")).alias("tp"), (F.col("_n") + F.col("_rn")).alias("k"), F.col("_all").alias("all"))
 
 
-def pr_curve(df: DataFrame, score: str, y: str, slices: int = 64) -> DataFrame:
+def pr_curve(df: DataFrame, score: str, y: str, slices: int | None = None) -> DataFrame:
     """(score, tp, fp, precision, recall) when everything at or above a score is positive."""
     tp, k = F.col("tp"), F.col("k")
     return _curve(df, score, y, slices).select("score", "tp", (k - tp).alias("fp"), (tp / k).alias("precision"), F.when(F.col("all") > 0, tp / F.col("all")).alias("recall"))
 
 
-def auroc(df: DataFrame, score: str, y: str, slices: int = 64) -> DataFrame:
+def auroc(df: DataFrame, score: str, y: str, slices: int | None = None) -> DataFrame:
     """One row: the area under the ROC curve, ties counting half; null where one class is missing."""
     neg = F.col("n") - F.col("pos")
     pairs = F.sum(neg * (F.col("tp") - F.col("pos")) + neg * F.col("pos") / 2)
     return _curve(df, score, y, slices).agg(F.try_divide(pairs, F.sum("pos") * F.sum(neg)).alias("auroc"))
 
 
-def average_precision(df: DataFrame, score: str, y: str, slices: int = 64) -> DataFrame:
+def average_precision(df: DataFrame, score: str, y: str, slices: int | None = None) -> DataFrame:
     """One row: the sum over scores of the precision there times the recall that it adds; null without positives."""
     return _curve(df, score, y, slices).agg(F.try_divide(F.sum(F.col("tp") / F.col("k") * F.col("pos")), F.max("all")).alias("average_precision"))
 

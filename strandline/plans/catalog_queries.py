@@ -159,13 +159,13 @@ def positional_slice(spark, sf_dir):
 
 @query(
     "time_forms",
-    """select event_id, ts::timestamp as micro, date_trunc('hour', ts)::timestamp as hour, date_trunc('day', ts)::timestamp as day from events""",
+    """select event_id, ts::timestamp as micro, date_trunc('hour', ts)::timestamp as hour, date_trunc('day', ts)::timestamp as day, date_trunc('minute', ts)::timestamp as minute from events""",
 )
 def time_forms(spark, sf_dir):
-    """Times back from file names of three forms: with fractions, by hour and by day."""
-    e = table(spark, sf_dir, "events").select("event_id", *[F.date_format("ts", f).alias(n) for n, f in (("a", "yyyyMMdd_HHmmss_SSSSSS"), ("b", "yyyy-MM-dd-HH"), ("c", "yyyyMMdd"))])
+    """Times back from text of four forms: with fractions, by hour, by day and on a clock of twelve hours."""
+    e = table(spark, sf_dir, "events").select("event_id", *[F.date_format("ts", f).alias(n) for n, f in (("a", "yyyyMMdd_HHmmss_SSSSSS"), ("b", "yyyy-MM-dd-HH"), ("c", "yyyyMMdd"), ("d", "MM/dd/yy hh:mm a"))])
     read = lambda c, f: timeparts.first_format(F.col(c), f)
-    return e.select("event_id", read("a", "yyyyMMdd_HHmmss_SSSSSS").alias("micro"), read("b", "yyyy-MM-dd-HH").alias("hour"), read("c", "yyyyMMdd").alias("day"))
+    return e.select("event_id", read("a", "yyyyMMdd_HHmmss_SSSSSS").alias("micro"), read("b", "yyyy-MM-dd-HH").alias("hour"), read("c", "yyyyMMdd").alias("day"), read("d", "MM/dd/yy hh:mm a").alias("minute"))
 
 
 @query(
@@ -340,3 +340,12 @@ def first_scene(spark, sf_dir):
     """The first scene of a collection within dates and bounds."""
     e = table(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-10' and ts < timestamp_ntz'2024-02-01' and user_id % 10 between 2 and 4")
     return e.orderBy("ts", "event_id").limit(1).select("event_id", "ts")
+
+
+@query("stacked_rows", """select label, p as pos, round(sum(embedding[p + 1]::double + embedding[p + 17]::double + embedding[p + 33]::double + embedding[p + 49]::double), 6) as total, count(*) * 4 as n
+from embeddings, (select unnest(range(16))::int as p) group by label, p""")
+def stacked_rows(spark, sf_dir):
+    """Flat arrays as four rows of sixteen, stacked over a label and summed by column."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.explode(scalars.reshaped(F.col("embedding"), 16)).alias("row"))
+    long = e.select("label", F.posexplode("row").alias("pos", "v"))
+    return long.groupBy("label", "pos").agg(F.round(F.sum(F.col("v").cast("double")), 6).alias("total"), F.count(F.lit(1)).alias("n"))
