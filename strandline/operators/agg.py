@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import missing
+from strandline.functions.scalars import finite, missing
 from strandline.storage import materialise
 
 
@@ -112,8 +112,9 @@ def mad_sigma(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def usable_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """(keys, metric) of the metrics that are never null within a key and not constant, in one pass over the long form."""
+    """(keys, metric) of the metrics that are finite in every row of a key and not constant, in one pass over the long form."""
     long = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(keys, metrics, "metric", "v")
+    long = long.withColumn("v", F.when(finite(F.col("v")), F.col("v")))
     seen = long.groupBy(*keys, "metric").agg(F.count("v").alias("_n"), F.count(F.lit(1)).alias("_all"), F.min("v").alias("_a"), F.max("v").alias("_b"))
     return seen.where("_n = _all and _a < _b").select(*keys, "metric")
 

@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.agg import ranked
@@ -142,14 +142,15 @@ def dbscan(df: DataFrame, row: str, vector: str, eps: float, least: int, block:
     return out
 
 
-def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 42) -> DataFrame:
+def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 42, spread: Column | None = None) -> DataFrame:
     """(group, fold): whole groups dealt so that label shares stay even.
 
-    Groups are ordered by size (equal ones by a seeded hash) and dealt to and fro over the folds, by
-    rank in Spark; nothing is collected. Rows without a group are in no fold.
+    Groups are ordered by size (equal ones by ``spread``, else a seeded hash) and dealt to and fro over
+    the folds, by rank in Spark; nothing is collected. Rows without a group are in no fold.
     """
+    mixed = F.xxhash64(F.lit(seed), F.col(group)) if spread is None else spread
     n = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.max_by(label, label).alias("_l"))
-    r = ranked(n, ["_l"], [-F.col("_n"), F.xxhash64(F.lit(seed), F.col(group)), F.col(group)])
+    r = ranked(n, ["_l"], [-F.col("_n"), mixed, F.col(group)])
     place = F.col("rank") - 1
     turn, pos = F.floor(place / k) % 2, place % k
     return r.select(group, F.when(turn == 0, pos).otherwise(k - 1 - pos).cast("int").alias("fold"))

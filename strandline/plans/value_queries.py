@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars, timeparts
 from strandline.operators import agg, learn, raster, vectors
-from strandline.plans.base import observations, table
+from strandline.plans.base import E, observations, table
 from strandline.queries import query
 
 
@@ -244,9 +244,11 @@ def logistic_probability(spark, sf_dir):
     return learn.logistic(e, "embedding", "y", "w").select("vec_id", F.round("prob", 4).alias("prob"))
 
 
-@query("group_kfold")
+@query("group_kfold", E + """, g as (select site, count(*) as n, max(y) as l from e group by site),
+r as (select site, row_number() over (partition by l order by n desc, (site * 2654435761 + 42) % 4294967296, site) - 1 as k from g)
+select site, (case when (k // 5) % 2 = 0 then k % 5 else 4 - k % 5 end)::int as fold from r""")
 def group_kfold(spark, sf_dir):
-    return learn.group_folds(observations(spark, sf_dir), "site", "y", 5)
+    return learn.group_folds(observations(spark, sf_dir), "site", "y", 5, spread=(F.col("site") * 2654435761 + 42) % 4294967296)
 
 
 @query("standard_scaler", _SCALED + " select vec_id, pos::int as pos, round(z, 6) as z from z")
