@@ -8,8 +8,9 @@ from strandline.functions import bands, geometry, scalars, timeparts
 from strandline.functions.timeparts import HOUR_US, from_micros
 from strandline.operators import agg, learn, metrics, raster, series, vectors
 from strandline.plans.base import E, observations, table
-from strandline.plans.series_queries import CHANGES, STATES, states
+from strandline.plans.series_queries import STATES, states
 from strandline.queries import query
+from strandline.sources.readers import gauge_rows
 
 
 @query(
@@ -349,3 +350,23 @@ def stacked_rows(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("label", F.explode(scalars.reshaped(F.col("embedding"), 16)).alias("row"))
     long = e.select("label", F.posexplode("row").alias("pos", "v"))
     return long.groupBy("label", "pos").agg(F.round(F.sum(F.col("v").cast("double")), 6).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "gauge_payload",
+    """select user_id::varchar as site_no, 'site ' || user_id as station_nm, '00065' as parameter_cd, date_trunc('second', ts)::timestamp as datetime,
+  case when event_id % 9 <> 0 then value end as value, 'P,' || event_type as qualifier, strftime(ts, '%Y-%m') as year_month from events where user_id is not null""",
+)
+def gauge_payload(spark, sf_dir):
+    """Readings written into one nested JSON payload a site, and read back as tidy rows; a no-data value is missing."""
+    reading = F.struct(
+        F.when(F.col("event_id") % 9 == 0, "-9").otherwise(F.col("value").cast("string")).alias("value"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("dateTime"), F.array(F.lit("P"), F.col("event_type")).alias("qualifiers"),
+    )
+    per = table(spark, sf_dir, "events").where("user_id is not null").groupBy("user_id").agg(F.collect_list(reading).alias("v"))
+    site = F.struct(F.concat(F.lit("site "), F.col("user_id")).alias("siteName"), F.array(F.struct(F.col("user_id").cast("string").alias("value"))).alias("siteCode"))
+    variable = F.struct(F.array(F.struct(F.lit("00065").alias("value"))).alias("variableCode"), F.lit(-9.0).alias("noDataValue"))
+    one = F.struct(site.alias("sourceInfo"), variable.alias("variable"), F.array(F.struct(F.col("v").alias("value"))).alias("values"))
+    payload = F.to_json(F.struct(F.struct(F.array(one).alias("timeSeries")).alias("value")))
+    rows = gauge_rows(per.select(payload.alias("j")), "j")
+    return rows.select("site_no", "station_nm", "parameter_cd", F.col("datetime").cast("timestamp_ntz").alias("datetime"), scalars.missing(F.col("value")).alias("value"), "qualifier", "year_month")
