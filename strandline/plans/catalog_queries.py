@@ -193,14 +193,13 @@ def unit_circle(spark, sf_dir):
 
 @query(
     "softmax_argmax",
-    """with s as (select vec_id, list_transform(embedding[1:4], lambda x: exp(x::double)) as x, embedding[1:4] as v from embeddings)
-select vec_id, round(list_max(x) / list_sum(x), 9) as top, list_position(v, list_max(v))::int - 1 as class, (list_max(x) / list_sum(x) > 0.3) as sure from s""",
+    """with s as (select vec_id, list_transform(embedding, lambda x: exp(x::double)) as x, embedding as v from embeddings)
+select vec_id, round(list_max(x) / list_sum(x), 9) as top, list_position(v, list_max(v))::int - 1 as class, (round(list_max(x) / list_sum(x), 9) > 0.02) as sure from s""",
 )
 def softmax_argmax(spark, sf_dir):
-    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    s = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).withColumn("p", scalars.softmax(F.col("v")))
-    top = F.array_max("p")
-    return s.select("vec_id", F.round(top, 9).alias("top"), scalars.argmax(F.col("v")).alias("class"), (top > 0.3).alias("sure"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    s = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).withColumn("top", F.round(F.array_max(scalars.softmax(F.col("v"))), 9))
+    return s.select("vec_id", "top", scalars.argmax(F.col("v")).alias("class"), (F.col("top") > 0.02).alias("sure"))
 
 
 @query(
@@ -244,14 +243,15 @@ def water_composites(spark, sf_dir):
 
 @query(
     "band_order",
-    """with b as (select vec_id, embedding[1:8] as e, embedding[1:4] as f from embeddings)
-select vec_id, unnest(range(8))::int as slot, unnest([0.0::double, f[1]::double, 0, f[2]::double, 0, f[3]::double, 0, f[4]::double]) as scattered, unnest([e[2], e[4], e[6], e[8], null, null, null, null])::double as picked from b""",
+    """with b as (select vec_id, p as pixel, embedding[8 * p + 1:8 * p + 8] as e from embeddings, (select unnest(range(8))::int as p))
+select vec_id, pixel, unnest(range(8))::int as slot, unnest([0.0::double, e[2]::double, 0, e[4]::double, 0, e[6]::double, 0, e[8]::double]) as scattered, unnest([e[2], e[4], e[6], e[8], null, null, null, null])::double as picked from b""",
 )
 def band_order(spark, sf_dir):
-    """Four bands scattered into the eight-band order, and four picked out of eight."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("e"), F.slice("embedding", 1, 4).alias("f"))
-    made = e.select("vec_id", bands.scatter(bands.four(F.col("f")), bands.FOUR_OF_EIGHT, 8).alias("s"), bands.four(F.col("e")).alias("p"))
-    return made.select("vec_id", F.posexplode("s").alias("slot", "scattered"), "p").select("vec_id", "slot", "scattered", F.get("p", F.col("slot")).cast("double").alias("picked"))
+    """Pixels of eight bands: four picked out, and those four scattered into the eight-band order."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(scalars.reshaped(F.col("embedding"), 8)).alias("pixel", "e"))
+    made = e.withColumn("p", bands.four(F.col("e"))).withColumn("s", bands.scatter(bands.four(F.col("p")), bands.FOUR_OF_EIGHT, 8))
+    long = made.select("vec_id", "pixel", F.posexplode("s").alias("slot", "scattered"), "p")
+    return long.select("vec_id", "pixel", "slot", "scattered", F.get("p", F.col("slot")).cast("double").alias("picked"))
 
 
 @query(
@@ -335,11 +335,11 @@ def median_fill_relabel(spark, sf_dir):
 
 @query(
     "first_scene",
-    """select event_id, ts from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-02-01' and user_id % 10 between 2 and 4 order by ts, event_id limit 1""",
+    """select event_id, ts from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-02-01' and value between 20 and 40 order by ts, event_id limit 1""",
 )
 def first_scene(spark, sf_dir):
     """The first scene of a collection within dates and bounds."""
-    e = table(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-10' and ts < timestamp_ntz'2024-02-01' and user_id % 10 between 2 and 4")
+    e = table(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-10' and ts < timestamp_ntz'2024-02-01' and value between 20 and 40")
     return e.orderBy("ts", "event_id").limit(1).select("event_id", "ts")
 
 

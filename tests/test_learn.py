@@ -51,9 +51,12 @@ def test_ranks_and_quantiles(spark):
     for k, got in seen.items():
         want = sorted((i for i, kk, _ in rows if kk == k), key=lambda i: (i % 7, i))
         assert [i for _, i, _ in sorted(got)] == want and all(t == len(want) for *_, t in got)
-    for x in agg.quantiles(df, "k", "v", [0.0, 0.3, 0.5, 1.0], 16).collect():
-        values = [v for _, k, v in rows if k == x.k and v is not None and not math.isnan(v)]
-        assert np.allclose([x.q0, x.q1, x.q2, x.q3], np.quantile(values, [0, 0.3, 0.5, 1]))
+    for accuracy in (10_000, 100, 40):
+        got = agg.quantiles(df, "k", "v", [0.0, 0.3, 0.5, 1.0], accuracy).collect()
+        assert {x.k for x in got} == {"a", "b", None}
+        for x in got:
+            values = [v for _, k, v in rows if k == x.k and v is not None and not math.isnan(v)]
+            assert np.allclose([x.q0, x.q1, x.q2, x.q3], np.quantile(values, [0, 0.3, 0.5, 1]))
 
 
 def test_missing_scores_count_nowhere(spark):
