@@ -292,6 +292,7 @@ def leave_one_out(scored: DataFrame, key: str = "site", params: str = "param") -
     the others' mean is the total less the key's own.
     """
     totals = scored.groupBy(params).agg(F.sum("f1").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    # One row for each parameter of the grid is broadcast.
     others = scored.join(F.broadcast(totals), params).withColumn("_mean", F.when(F.col("_n") > 1, F.round((F.col("_sum") - F.col("f1")) / (F.col("_n") - 1), 12)).otherwise(0.0))
     best = others.groupBy(key).agg(F.max_by(F.struct(params, "tp", "fp", "fn", "f1"), F.struct("_mean", -F.col(params))).alias("_b"))
     return best.select(key, "_b.*")

@@ -29,7 +29,7 @@ def standardise(df: DataFrame, vector: str, name: str = "scaled") -> DataFrame:
 
 def components(df: DataFrame, vector: str, k: int, name: str = "pca") -> DataFrame:
     """The first k principal components; the input is centred first."""
-    centre = mean_vector(df.withColumn("_a", F.lit(0)), "_a", vector, "_m").select("_m")
+    centre = mean_vector(df.withColumn("_a", F.lit(0)), "_a", vector, "_m").select("_m")  # one row, a vector
     c = df.crossJoin(F.broadcast(centre)).withColumn("_v", array_to_vector(F.zip_with(vector, "_m", lambda x, m: x.cast("double") - m))).drop("_m")
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(c)
     return model.transform(c).withColumn(name, vector_to_array("_p")).drop("_v", "_p")
