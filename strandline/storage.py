@@ -12,8 +12,13 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 #: For actions whose result is written: shuffle files go as soon as the action has ended, instead of when the driver
-#: collects garbage, and small partitions are joined to the advisory size, so that small tables are few files.
-TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+#: collects garbage; small partitions are joined to the advisory size, so that small tables are few files; and Python
+#: workers get whole texts in small batches, whose buffers executors would keep.
+TIDY = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+}
 
 
 def shared_folder(spark: SparkSession) -> str:
