@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, media, ngram_join, packing, pii, quality, quality_rules, sharding, token_counts, toxicity
+from strandline.llm import bpe, chat, fim, media, ngram_join, packing, phrases, pii, quality, quality_rules, sharding, token_counts, toxicity
 from strandline.llm.common import held_out, table
 
 
@@ -109,6 +109,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "rule")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language; null text is empty, a null language ``und``, repeated rows count each."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, as digests; null text is empty and plain, repeated rows fare alike."""
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "row.doc_id",
+        "fim.n",
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2("fim.output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one string, read back; null texts are empty, rows that repeat a turn are turns each. Conversation -7
+    is a record of its own, of the layout that has a prompt and a response."""
+    said = "</s>[INST] ok [/INST]"
+    added = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_variant_object(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
+    made = chat.convert(chat.by_conversation(table(spark, sf_dir, "conversations"), added), "record")
+    back = chat.under_loss(made, F.col("chat.text"), F.col("chat.loss"), "loss")
+    read = back.select("row.conv_id", "chat.layout", F.length("chat.text").cast("long").alias("formatted_chars"), chat.read_turns(F.col("chat.text")).alias("turns"), "loss")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        chat.digest_of(F.col("turns")).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+        "layout",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
@@ -120,6 +158,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_phrases": op11_phrases,
+    "op12_fim": op12_fim,
+    "op13_chat": op13_chat,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are held against brute force in tests.
@@ -136,4 +177,24 @@ links as (
   having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a)
 select doc_id, len(s)::bigint as n_shingles, coalesce((select min(b) from reach where a = doc_id), doc_id) as component_id from s""",
+    "op11_phrases": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+  from words, (select unnest([1, 2, 3, 4, 5]) as k) where len(w) >= k),
+f as (select lang, phrase, any_value(k) as k, count(*) as a from grams group by lang, phrase having count(*) >= 100),
+n as (select lang, sum(len(w)) as n from words group by lang),
+cuts as (
+  select lang, phrase, k, a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') as p, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') as q
+  from f, (select unnest([1, 2, 3, 4]) as cut) where k > 1 and cut < k),
+scored as (
+  select c.lang, c.phrase, c.a, l.a as l, r.a as r, n.n, c.cut, (1000::hugeint * c.a * n.n) // (l.a::hugeint * r.a) as score
+  from cuts c join f l on l.lang = c.lang and l.phrase = c.p join f r on r.lang = c.lang and r.phrase = c.q join n on n.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (select a.lang, a.phrase from f a join f b on a.lang = b.lang and b.k > a.k and b.a >= a.a and contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ') where a.k > 1 group by all),
+kept as (select * from best anti join longer using (lang, phrase))
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= 2000""",
 }
