@@ -247,8 +247,8 @@ def test_big_scores(spark):
 def test_op11(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
-    want = con.sql(ORACLE_SQL["op11_phrases"] + " order by lang, rank").fetchall()
-    names = [x[0] for x in con.description]
+    found = con.sql(ORACLE_SQL["op11_phrases"] + " order by lang, rank")
+    want, names = found.fetchall(), found.columns
     got = [tuple(r) for r in QUERIES["op11_phrases"](spark, SF).select(*names).orderBy("lang", "rank").collect()]
     assert got == want and np.ptp([r[names.index("rank")] for r in got]) > 5
     rows = con.sql("select text, lang from documents").fetchall()
