@@ -12,8 +12,10 @@ what isn't zero is written.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,8 @@ from strandline.storage import Scratch
 BUCKET_BITS = 25
 #: Buckets of one row of counts.
 BLOCK = 1 << 16
-#: Words that a task takes at a time, phrases that it holds before it emits them, and bytes of a piece without delimiters
-#: that are split at a time.
-WORDS, HELD, SPAN = 1 << 17, 1 << 18, 1 << 20
+#: Bytes of text that a task takes at a time, and phrases that it holds before it emits them.
+SPAN, HELD = 1 << 20, 1 << 18
 
 #: A-Z lower-cased, the tab a space, delimiters a newline.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
@@ -54,19 +55,45 @@ def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def pieces(raw: bytes, longest: int) -> Iterator[tuple[list[bytes], int]]:
-    """(words, carried): the words of each piece. A piece of more than SPAN bytes comes in parts, each after the last words of
-    the one before, of which ``carried`` counts."""
-    for piece in raw.translate(TABLE).split(b"\n"):
-        start, tail = 0, []
-        while len(piece) - start > SPAN and (cut := piece.find(b" ", start + SPAN)) >= 0:
-            words = piece[start:cut].split(b" ")
-            words = tail + [w for w in words if w]
-            yield words, len(tail)
-            start, tail = cut, words[1 - longest :] if longest > 1 else []
-        words = [w for w in piece[start:].split(b" ") if w]
-        if words:
-            yield tail + words, len(tail)
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    out = []
+    for x in (base := 0x9E3779B97F4A7C15, pow(base, -1, 2**64)):
+        each = np.full(n, x, np.uint64)
+        each[0] = 1
+        out.append(np.cumprod(each))
+    return out[0], out[1]
+
+
+def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word: sums of bytes times powers, which a word's place is divided out of."""
+    powers, inverse = _powers(1 << max(21, int(len(text)).bit_length()))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[: len(text)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def parts(raw: bytes, longest: int) -> Iterator[tuple[bytes, int]]:
+    """(part, carried): the text lower-cased, with single spaces between words and a newline for each delimiter, in parts of some
+    SPAN bytes. A part that a piece of text is cut before begins with the last ``longest`` - 1 words of what was before;
+    ``carried`` counts the bytes of these words."""
+    text = raw.translate(TABLE)
+    if b"  " in text:
+        text = re.sub(b" +", b" ", text)
+    start, tail = 0, b""
+    while len(text) - start > SPAN:
+        cut = max(text.rfind(b"\n", start, start + SPAN), text.rfind(b" ", start, start + SPAN))
+        if cut <= start:
+            following = [i for i in (text.find(b"\n", start + 1), text.find(b" ", start + 1)) if i > 0]
+            if not following:
+                break
+            cut = min(following)
+        part = tail + text[start:cut]
+        yield part, len(tail)
+        tail = b" ".join(w for w in part[part.rfind(b"\n") + 1 :].rsplit(b" ", longest)[1 - longest :] if w) if longest > 1 else b""
+        start = cut
+    yield tail + text[start:], len(tail)
 
 
 class Counter:
@@ -74,59 +101,63 @@ class Counter:
 
     def __init__(self, k: int, longest: int, least: int, likely: np.ndarray | None, frequent: np.ndarray | None):
         self.k, self.longest, self.least, self.likely, self.frequent = k, longest, least, likely, frequent
-        self.words: dict[str, list[bytes]] = defaultdict(list)
-        self.gaps: dict[str, list[int]] = defaultdict(list)
-        self.stale: dict[str, list[int]] = defaultdict(list)
+        self.texts: dict[str, list[bytes]] = defaultdict(list)
+        self.stale: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.sizes: dict[str, int] = defaultdict(int)
         self.phrases: dict[str, dict[bytes, list[int]]] = defaultdict(dict)
         self.totals: dict[str, int] = defaultdict(int)
         self.buckets = np.zeros(1 << BUCKET_BITS, np.uint8 if least < 256 else np.uint32) if k < longest else None
 
     def add(self, lang: str, raw: bytes) -> None:
-        words, gaps, stale = self.words[lang], self.gaps[lang], self.stale[lang]
-        for piece, carried in pieces(raw, self.longest):
-            stale.extend(range(len(words), len(words) + carried))
-            words += piece
-            gaps.append(len(words))
-            words.append(b"")
-            if len(words) >= WORDS:
+        for part, carried in parts(raw, self.longest):
+            if carried:
+                self.stale[lang].append((self.sizes[lang], self.sizes[lang] + carried))
+            self.texts[lang] += (part, b"\n")
+            self.sizes[lang] += len(part) + 1
+            if self.sizes[lang] >= SPAN:
                 self.count(lang)
 
     def count(self, lang: str) -> None:
-        words, k = self.words[lang], self.k
-        if not words:
+        text, k = b"".join(self.texts[lang]), self.k
+        byte = np.frombuffer(text, np.uint8)
+        line = byte == 10
+        edge = np.diff(np.concatenate([[True], line | (byte == 32), [True]]).astype(np.int8))
+        start, end = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+        piece = np.cumsum(line)[start]
+        fresh = np.ones(len(start), bool)
+        for low, high in self.stale[lang]:
+            fresh[np.searchsorted(start, low) : np.searchsorted(start, high)] = False
+        for held in (self.texts, self.stale, self.sizes):
+            del held[lang]
+        self.totals[lang] += int(fresh.sum())
+        if len(start) < k:
             return
-        valid, fresh = np.ones(len(words), bool), np.ones(len(words), bool)
-        valid[self.gaps[lang]] = fresh[self.stale[lang]] = False
-        self.totals[lang] += int((valid & fresh).sum())
-        first = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        first = word_hashes(byte, start, end)
         last = None
-        grams = _mixed(first ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())) * _SEED)
-        inside = valid.copy()
+        grams = _mixed(first ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
         for j in range(2, k + 1):
             last, grams = grams, _mixed(grams[:-1] * _SEED + first[j - 1 :] * _M2)
-            inside = inside[:-1] & valid[j - 1 :]
-        at = np.flatnonzero(inside)
+        at = np.flatnonzero(piece[: len(grams)] == piece[k - 1 :])
         if self.likely is not None:
             at = at[_in(self.likely, grams[at])]
             at = at[_in(self.frequent, last[at])]
             at = at[_in(self.frequent, last[at + 1])]
-        self._phrases(lang, words, grams, at[fresh[at + k - 1]])
+        self._phrases(lang, text, start, end, grams, at[fresh[at + k - 1]])
         if self.buckets is not None:
-            maybe = np.zeros(len(words) + 1, bool)
+            maybe = np.zeros(len(start) + 1, bool)
             maybe[at] = True
             both = np.flatnonzero(maybe[:-1] & maybe[1:])
-            both = both[fresh[both + k]]
+            both = both[both + k < len(start)]
+            both = both[fresh[both + k] & (piece[both] == piece[both + k])]
             longer = _mixed(grams[both] * _SEED + first[both + k] * _M2)
             spots, n = np.unique(bucket(longer), return_counts=True)
             self.buckets[spots] = np.minimum(self.least, self.buckets[spots] + n)
-        for held in (self.words, self.gaps, self.stale):
-            held[lang].clear()
 
-    def _phrases(self, lang: str, words: list[bytes], grams: np.ndarray, at: np.ndarray) -> None:
+    def _phrases(self, lang: str, text: bytes, start: np.ndarray, end: np.ndarray, grams: np.ndarray, at: np.ndarray) -> None:
         found, spots, n = np.unique(grams[at], return_index=True, return_counts=True)
-        known = self.phrases[lang]
-        for h, i, c in zip(found.view(np.int64).tolist(), at[spots].tolist(), n.tolist(), strict=True):
-            phrase = b" ".join(words[i : i + self.k])
+        known, at = self.phrases[lang], at[spots]
+        for h, i, j, c in zip(found.view(np.int64).tolist(), start[at].tolist(), end[at + self.k - 1].tolist(), n.tolist(), strict=True):
+            phrase = text[i:j]
             held = known.get(phrase)
             if held:
                 held[1] += c
@@ -136,7 +167,7 @@ class Counter:
     def take(self, all_of_it: bool) -> Iterator[pa.RecordBatch]:
         """The phrases held so far, if they are many or nothing follows."""
         if all_of_it:
-            for lang in list(self.words):
+            for lang in list(self.texts):
                 self.count(lang)
         if not all_of_it and sum(map(len, self.phrases.values())) < HELD:
             return

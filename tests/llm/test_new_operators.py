@@ -218,17 +218,21 @@ def test_mine(spark, monkeypatch, least, span):
     assert got == want and len(want) > 3
 
 
-def test_pieces():
-    raw = b"One two\tthree. four" + b" w%d" * 50 + b"\nlast"
-    for span in (5, 17, 1 << 20):
-        phrases_span, phrases.SPAN = phrases.SPAN, span
-        try:
-            words = [w for p, carried in phrases.pieces(raw, 5) for w in p[carried:]]
-            grams = [tuple(p[i : i + 5]) for p, carried in phrases.pieces(raw, 5) for i in range(len(p) - 4) if i + 5 > carried]
-        finally:
-            phrases.SPAN = phrases_span
-        assert words == re.split(rb"[ \t\n]+", raw.lower().replace(b".", b"\n"))
-        assert len(grams) == 50 + 1 - 4
+def test_parts(monkeypatch):
+    raw = b"One two\tthree. four" + b" w%d" * 50 + b"\nlast  one\n" + b"y" * 99 + b" z"
+    lines = re.split(rb"[.\n]", raw.lower())
+    want = Counter(tuple(w[i : i + k]) for k in (1, 5) for w in map(bytes.split, lines) for i in range(len(w) - k + 1))
+    for span in (1, 5, 17, 40, 1 << 20):
+        monkeypatch.setattr(phrases, "SPAN", span)
+        got = Counter()
+        for part, carried in phrases.parts(raw, 5):
+            at = 0
+            for line in part.split(b"\n"):
+                ends = [at + m.start() for m in re.finditer(rb"\S+", line)]
+                w = line.split()
+                got.update(tuple(w[i : i + k]) for k in (1, 5) for i in range(len(w) - k + 1) if ends[i + k - 1] >= carried)
+                at += len(line) + 1
+        assert got == want
 
 
 def test_mine_nothing(spark):
