@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
     """The batches in parts of few rows, so that a worker holds the results of few texts at a time."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
+    try:
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                yield batch.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()  # a worker waits for its next task with as little as it can
 
 
 def only(df: DataFrame, verdict: Column, columns: list[str]) -> DataFrame:
@@ -41,14 +44,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int, per_class: bool = False
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, per_class: bool = False
 ) -> DataFrame:
     """At most ``rows`` labelled documents outside the held-out fold: (text, y, hash), hash of the text.
 
     The ids are chosen by their hash from the narrow label table first, so only their texts are read
     further. ``rows`` bounds the broadcast of ids as well as what a fit can collect: an id that
-    several rows have counts once, with its least text. Texts longer than ``max_chars`` are not fitted
-    on (they are scored like all others). ``per_class`` takes up to half of the rows from either class.
+    several rows have counts once, with its least text, whole. ``per_class`` takes up to half of the rows
+    from either class.
     """
     y = F.col(label).cast("int")
     known = labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(y).alias("y"))
@@ -58,6 +61,6 @@ def labelled_sample(
         chosen = known.where("y = 1").orderBy(*order).limit(half).unionByName(known.where("y = 0").orderBy(*order).limit(half))
     else:
         chosen = known.orderBy(*order).limit(rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     return found.select("text", "y", F.xxhash64("text").alias("hash"))

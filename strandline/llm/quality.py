@@ -61,12 +61,12 @@ def learn(x: np.ndarray, good: np.ndarray, names: list[str], pairs: int = 60_000
     return Model(tuple((names[k], c, float(u)) for (k, c), u in zip(where, v, strict=True) if u), math.log(CUT / (1 - CUT)) - cut)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, max_chars: int = 100_000, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, **options) -> Model:
     """Fit on at most ``rows`` documents with a quality label, none of them held out.
 
     Empty tables, or labels of one class only, give a neutral model with score 0.5 for every text.
     """
-    sample = with_stats(labelled_sample(docs, labels, "quality", rows, max_chars), keep=["hash", "y"])
+    sample = with_stats(labelled_sample(docs, labels, "quality", rows), keep=["hash", "y"])
     got = sorted(sample.select("hash", "y", *[F.col(f"stats.{c}") for c in RATIOS]).collect())  # the same for any layout of the files
     if not got:
         return Model((), 0.0)

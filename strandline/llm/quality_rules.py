@@ -125,12 +125,12 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int = 12,
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, max_chars: int = 100_000, **options) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, **options) -> list[Rule]:
     """Learn from at most ``rows`` labelled documents (quality 0 is bad), never from the held-out fold.
 
     Empty tables, or labels of one class only, give an empty list.
     """
-    sample = with_stats(labelled_sample(docs, labels, "quality", rows, max_chars), keep=["hash", "y"])
+    sample = with_stats(labelled_sample(docs, labels, "quality", rows), keep=["hash", "y"])
     got = sorted(sample.select("hash", "y", *[F.col(f"stats.{c}") for c in RATIOS]).collect())  # the same for any layout of the files
     if not got:
         return []

@@ -22,6 +22,8 @@ from strandline.llm.common import labelled_sample
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 16, 12, 12, (1, 2, 3)
 #: Words convolved at once; longer texts go in slices that overlap by the widest filter.
 SLICE = 100_000
+#: Words of a text beyond which a fit takes only the strongest windows of the text.
+LONG = 8_192
 #: Frequent function words of each language: fixed values.
 FUNCTION_WORDS = {
     "en": frozenset(b"the of and to in is that it for was with as on by this are from or be at".split()),
@@ -81,13 +83,35 @@ def _start(seed: int) -> Model:
     return Model(table, filters, np.zeros(n, np.float32), rng.normal(0, 0.3, n).astype(np.float32), 0.0, {})
 
 
+def strongest(m: Model, words: np.ndarray) -> np.ndarray:
+    """The words of the windows that each filter answers most to, found block by block, with padding between them.
+
+    Only these take part in the maxima and in their gradient, so a long text is fitted on whole.
+    """
+    step, wide = LONG, max(SPANS)
+    best = [(np.full(f.shape[2], -np.inf, np.float32), np.zeros(f.shape[2], np.intp)) for f in m.filters]
+    for s in range(0, len(words), step):
+        x = m.table[words[s : s + step + wide - 1]].sum(1)
+        for (top, at), w, f in zip(best, SPANS, m.filters, strict=True):
+            if len(x) >= w:
+                z = sum(x[j : len(x) - w + 1 + j] @ f[j] for j in range(w))
+                spot = z.argmax(0)
+                value = z[spot, np.arange(len(spot))]
+                better = value > top
+                top[better], at[better] = value[better], s + spot[better]
+    at = np.unique(np.concatenate([(a[:, None] + np.arange(w)).ravel() for (_, a), w in zip(best, SPANS, strict=True)]))
+    pad = np.full((wide - 1, words.shape[1]), BUCKETS, words.dtype)
+    runs = np.split(words[at], np.flatnonzero(np.diff(at) > 1) + 1)
+    return np.concatenate([y for r in runs for y in (r, pad)][:-1])
+
+
 def _epoch(m: Model, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, sums: dict, rate: float, rng: np.random.Generator, batch: int = 16) -> None:
     """One pass of Adagrad; a tenth of the words is dropped at random."""
     pad = np.full((max(SPANS) - 1, 3), BUCKETS, np.int32)
     for idx in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
         parts, starts, at = [pad], [], len(pad)
         for i in idx:
-            t = texts[i]
+            t = texts[i] if len(texts[i]) <= LONG else strongest(m, texts[i])
             t = t[rng.random(len(t)) > 0.1]
             starts.append(at)
             parts += [t, pad]
@@ -178,12 +202,12 @@ def learn(texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.1,
     return Model(table, filters, bias, out, shift, cuts)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 6_000, max_chars: int = 20_000, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 6_000, **options) -> Model:
     """Fit on at most ``rows`` labelled documents (half of them toxic, where there are so many), none held out.
 
     Empty tables, or labels of one class only, give a model that scores every text 0.5.
     """
-    got = labelled_sample(docs, labels, "toxic", rows, max_chars, per_class=True).collect()
+    got = labelled_sample(docs, labels, "toxic", rows, per_class=True).collect()
     got.sort(key=lambda r: (r.hash, r.text, r.y))
     return learn([r.text for r in got], np.array([r.y == 1 for r in got], bool), **options)
 
