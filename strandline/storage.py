@@ -29,6 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
         held = sc._jsc.sc().getCheckpointDir()
+    at = sc._jvm.org.apache.hadoop.fs.Path(held.get())
+    # This application's own folder: what is left in it goes when the driver ends.
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
     return held.get()
 
 
