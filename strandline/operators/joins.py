@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
+
 
 def band_join(left: DataFrame, right: DataFrame, key: str, l_us: str, r_us: str, tolerance_us: int, closed: bool = True) -> DataFrame:
     """Pairs with equal key and times at most (or, open, less than) the tolerance apart.
@@ -21,11 +23,11 @@ def band_join(left: DataFrame, right: DataFrame, key: str, l_us: str, r_us: str,
     return near.join(right.withColumn("_bucket", F.floor(F.col(r_us) / t)), [key, "_bucket"]).where(within).drop("_bucket")
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, l_us: str, r_us: str, values: list[str], key: str, tolerance_us: int | None = None) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, l_us: str, r_us: str, values: list[str], key: str, tolerance_us: int | None = None, width_us: int = ordered.WIDTH_US) -> DataFrame:
     """Every left row with ``values`` and time of the right row nearest in time, the earlier of two as near.
 
-    Both sides are stacked and carried along one window, so each key is sorted once and no pairs are
-    formed. Of right rows at the same time, the one with the least values is taken.
+    Both sides are stacked and carried along in slices of a time range, so no pairs are formed and a key
+    that holds most rows is many tasks. Of right rows at the same time, the one with the least values is taken.
     """
     carried = F.struct(F.col(r_us).alias("_at"), *values)
     kind = right.select(carried.alias("_r")).schema["_r"].dataType
@@ -33,12 +35,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, l_us: str, r_us: str, values
     a = left.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(l_us).alias("_us"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(kind).alias("_r"))
     one = right.groupBy(*keys, r_us).agg(F.min(carried).alias("_r"))
     b = one.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(r_us).alias("_us"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("_l")).schema["_l"].dataType).alias("_l"), "_r")
-    w = Window.partitionBy(*[f"_k_{k}" for k in keys])
-    both = a.unionByName(b)
-    before = F.last("_r", ignorenulls=True).over(w.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0))
-    # Downwards, so that this frame too only grows along the window.
-    after = F.last("_r", ignorenulls=True).over(w.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0))
-    out = both.withColumns({"_before": before, "_after": after}).where("_l is not null")
+    both = ordered.sliced(a.unionByName(b), "_us", width_us)
+    both = ordered.running_last(both, f"_k_{key}", "_r", "_before", "_us", width_us)
+    out = ordered.running_last(both, f"_k_{key}", "_r", "_after", "_us", width_us, backwards=True).where("_l is not null")
     d1, d2 = F.col("_us") - F.col("_before._at"), F.col("_after._at") - F.col("_us")
     pick = F.when(F.col("_after").isNull() | (d1 <= d2), F.col("_before")).otherwise(F.col("_after"))
     out = out.withColumn("_pick", pick)
@@ -60,8 +59,10 @@ def nearest_points(left: DataFrame, right: DataFrame, distance: Column, cell: fl
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key; ``order`` should be total."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each key; ``order``, of plain columns or their ascending expressions, should be total. Tasks take the least
+    rows of their own before any are shuffled."""
+    least = F.min_by(F.struct(*df.columns), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    return df.groupBy(*keys).agg(least.alias("_row")).select("_row.*")
 
 
 def with_precedence(frames: list[DataFrame], keys: list[str], order: list[Column]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.functions.timeparts import DAY_US, HOUR_US, from_micros
-from strandline.operators import series
+from strandline.operators import agg, series
 from strandline.plans.base import E, observations
 from strandline.queries import query
 
@@ -58,7 +58,7 @@ def hysteresis_missing(spark, sf_dir):
   then avg(p) over (partition by site order by us range between 187199999999 preceding and 187199999999 following) else p end, 12) as smooth from h""",
 )
 def smooth_missing(spark, sf_dir):
-    return _holes(spark, sf_dir).withColumn("smooth", series.smooth_guarded("p", 2)).select("site", "ts", F.round("smooth", 12).alias("smooth"))
+    return series.smoothed_guarded(_holes(spark, sf_dir), "p", "smooth", 2).select("site", "ts", F.round("smooth", 12).alias("smooth"))
 
 
 CHANGES = """, ch as (
@@ -159,7 +159,7 @@ def gap_intervals_dynamic(spark, sf_dir):
   then avg(p) over (partition by site order by us range between 187199999999 preceding and 187199999999 following) else p end, 12) as smooth from e""",
 )
 def rolling_smooth_guarded(spark, sf_dir):
-    return observations(spark, sf_dir).withColumn("smooth", series.smooth_guarded("p", 2)).select("site", "ts", F.round("smooth", 12).alias("smooth"))
+    return series.smoothed_guarded(observations(spark, sf_dir), "p", "smooth", 2).select("site", "ts", F.round("smooth", 12).alias("smooth"))
 
 
 @query(
@@ -167,7 +167,7 @@ def rolling_smooth_guarded(spark, sf_dir):
     E + """ select site, ts, round(avg(p) over (partition by site order by us range between 86399999999 preceding and 86400000000 following), 12) as smooth from e""",
 )
 def rolling_center(spark, sf_dir):
-    return observations(spark, sf_dir).select("site", "ts", F.round(series.smooth_centred("p", 2), 12).alias("smooth"))
+    return series.smoothed_centred(observations(spark, sf_dir), "p", "smooth", 2).select("site", "ts", F.round("smooth", 12).alias("smooth"))
 
 
 @query(
@@ -177,9 +177,8 @@ select site, round(quantile_cont(h, 0.5), 6) as p50, round(quantile_cont(h, 0.95
 from d where h is not null group by site""",
 )
 def lag_cadence_quantiles(spark, sf_dir):
-    d = observations(spark, sf_dir).select("site", (series.delta() / 3.6e9).alias("h")).where("h is not null")
-    q = d.groupBy("site").agg(F.percentile("h", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("q"))
-    return q.select("site", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    d = series.deltas(observations(spark, sf_dir).select("site", "us")).select("site", (F.col("delta_us") / 3.6e9).alias("h")).where("h is not null")
+    return agg.quantiles(d, "site", "h", [0.5, 0.95, 0.99]).select("site", *[F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
 @query(
