@@ -112,3 +112,32 @@ def precision_threshold(df: DataFrame, score: str, y: str, precision: float) ->
     c = pr_curve(df, score, y)
     least = F.min(F.when(F.col("precision") >= precision, F.col("score")))
     return c.agg(F.coalesce(least, F.max_by("score", F.col("precision") * F.col("recall"))).alias("threshold"))
+
+
+def class_counts(df: DataFrame, truth: str, pred: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, class, tp, pos, said): how often a class was right, true and said; rows with a null on either side don't count."""
+    keys = keys or []
+    pairs = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).groupBy(*keys, F.col(truth).alias("_t"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    one = lambda c, t, s: F.struct(F.col(c).alias("class"), F.lit(t).alias("t"), F.lit(s).alias("s"))
+    sides = pairs.select(*keys, "_n", (F.col("_t") == F.col("_p")).alias("_same"), F.explode(F.array(one("_t", 1, 0), one("_p", 0, 1))).alias("_x"))
+    return sides.groupBy(*keys, F.col("_x.class").alias("class")).agg(
+        F.sum(F.when(F.col("_same"), F.col("_n") * F.col("_x.t")).otherwise(0)).alias("tp"), F.sum(F.col("_n") * F.col("_x.t")).alias("pos"), F.sum(F.col("_n") * F.col("_x.s")).alias("said")
+    )
+
+
+def balanced_accuracy(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, balanced_accuracy, n, classes): the mean recall of the classes that are true somewhere."""
+    seen = counts.where(F.col("pos") > 0)
+    return seen.groupBy(*(keys or [])).agg(F.avg(F.col("tp") / F.col("pos")).alias("balanced_accuracy"), F.sum("pos").alias("n"), F.count(F.lit(1)).alias("classes"))
+
+
+def macro(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, macro_precision, macro_recall, macro_f1, weighted_f1, balanced_accuracy) over all classes true or said; a score without
+    a denominator is 0."""
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    s = counts.withColumns({"_p": share(F.col("tp"), F.col("said")), "_r": share(F.col("tp"), F.col("pos"))})
+    s = s.withColumn("_f", share(2 * F.col("_p") * F.col("_r"), F.col("_p") + F.col("_r")))
+    return s.groupBy(*(keys or [])).agg(
+        F.avg("_p").alias("macro_precision"), F.avg("_r").alias("macro_recall"), F.avg("_f").alias("macro_f1"),
+        F.try_divide(F.sum(F.col("pos") * F.col("_f")), F.sum("pos")).alias("weighted_f1"), F.avg(F.when(F.col("pos") > 0, F.col("_r"))).alias("balanced_accuracy"),
+    )
