@@ -28,8 +28,11 @@ def fields_of(schema: str) -> dict[str, str]:
 
 
 def _typed(props: Column, name: str, kind: str) -> Column:
-    held = F.try_variant_get(props, "$['" + name.replace("'", "\\'") + "']", "string" if re.match(r"OBJECT|ARRAY|VARIANT|VOID", kind) else kind)
-    return held
+    kind = "string" if re.match(r"OBJECT|ARRAY|VARIANT|VOID", kind) else kind
+    if "'" not in name and "\\" not in name:
+        return F.try_variant_get(props, f"$['{name}']", kind)
+    # A path can't hold these; such names are looked up in a map of the fields.
+    return F.try_variant_get(F.try_element_at(props.cast("map<string,variant>"), F.lit(name)), "$", kind)
 
 
 def flattened(df: DataFrame, json: str, prefix: str = "") -> DataFrame:
@@ -40,8 +43,9 @@ def flattened(df: DataFrame, json: str, prefix: str = "") -> DataFrame:
     texts that aren't JSON objects, have null. The names come from one aggregate over all rows, whose
     result is one string.
     """
-    d = df.withColumn("_v", F.try_parse_json(json))
-    schema = d.where(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT"))).agg(F.schema_of_variant_agg("_v")).first()[0] or ""
+    v = F.try_parse_json(json)
+    d = df.withColumn("_v", F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
+    schema = d.where("_v is not null").agg(F.schema_of_variant_agg("_v")).first()[0] or ""
     found = fields_of(schema)
     clash = {c.lower() for c in df.columns if c != json} & {(prefix + n).lower() for n in found}
     if clash:
