@@ -45,7 +45,7 @@ def cyclic(ts: Column) -> list[Column]:
     return [F.sin(week).alias("week_sin"), F.cos(week).alias("week_cos"), F.sin(hour).alias("hour_sin"), F.cos(hour).alias("hour_cos")]
 
 
-def date_chunks(start: str, end: str, days: int) -> Column:
+def date_chunks(start: Column | str, end: Column | str, days: int) -> Column:
     """Array of inclusive, gapless (first, last) date ranges of at most ``days`` days."""
     firsts = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr(f"interval {days} days"))
     return F.transform(firsts, lambda d: F.struct(d.alias("first"), F.least(F.date_add(d, days - 1), F.lit(end).cast("date")).alias("last")))

@@ -60,10 +60,14 @@ def nested_first_choice(spark, sf_dir):
 
 @query(
     "date_chunks",
-    """with d as (select unnest(generate_series(date '2017-01-01', date '2024-12-31', interval 90 day))::date as first) select first, least(first + 89, date '2024-12-31')::date as last from d""",
+    """with b as (select o_orderpriority as grp, min(o_orderdate)::date as a, max(o_orderdate)::date as z from orders group by 1),
+d as (select grp, z, unnest(generate_series(a::timestamp, z::timestamp, interval 90 day))::date as first from b)
+select grp, first, least(first + 89, z)::date as last from d""",
 )
 def date_chunks(spark, sf_dir):
-    return spark.range(1).select(F.explode(timeparts.date_chunks("2017-01-01", "2024-12-31", 90)).alias("c")).select("c.first", "c.last")
+    """Requests of at most 90 days that cover each order priority's span."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("z"))
+    return o.select("grp", F.explode(timeparts.date_chunks(F.col("a"), F.col("z"), 90)).alias("c")).select("grp", "c.first", "c.last")
 
 
 @query(
