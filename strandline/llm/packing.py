@@ -4,9 +4,10 @@ Spark counts the lengths; the histogram, at most ``capacity`` numbers, goes to t
 covering program over configurations (multisets of lengths that fit) is solved by multiplicative
 weights: a length's price grows while it lags behind the common goal of coverage, and a knapsack
 dynamic program over the capacity gives the configurations of most value at those prices. The
-fractional solution is rounded by decreasing length; what rounding leaves open is filled best-fit,
-and Spark deals documents to the places by rank within their length. Plan and histogram are bounded
-by the capacity, not by the number of documents.
+fractional solution is rounded, either down or by decreasing length in proportion to a part of it;
+what rounding leaves is filled best-fit, and of a few roundings the one of fewest sequences counts.
+Spark deals documents to the places by rank within their length. Plan and histogram are bounded by
+the capacity, not by the number of documents.
 """
 
 from __future__ import annotations
@@ -154,13 +155,39 @@ def rounded(plan: dict[Configuration, float], counts: np.ndarray, part: float =
     return [group for groups in room.values() for group in groups], opened
 
 
-def configurations(counts: np.ndarray, parts: tuple[float, ...] = (1.0, 0.98, 0.95, 0.9)) -> tuple[list[tuple[Configuration, int]], float]:
-    """The rounding of fewest sequences among a few shares of the plan, and the lower bound on their number."""
+def settled(plan: dict[Configuration, float], counts: np.ndarray, waste: int = 0) -> list[tuple[Configuration, int]]:
+    """Whole configurations with all of counts: of the plan's, those that waste at most ``waste`` tokens are taken
+    as often as their rounded-down amounts say; what is left goes best-fit by decreasing length."""
+    top, left = len(counts) - 1, counts.astype(np.int64).tolist()
+    room: dict[int, list[tuple[Configuration, int]]] = defaultdict(list)
+    for config, amount in sorted(plan.items(), key=lambda p: (-p[1], p[0])):
+        free = top - sum(a * b for a, b in config)
+        m = min(int(amount), *(left[a] // b for a, b in config))
+        if free <= waste and m:
+            for a, b in config:
+                left[a] -= m * b
+            room[free].append((config, m))
+    for length in range(top, 0, -1):
+        left[length] = _into_rooms(length, left[length], room)
+        while left[length]:
+            each = min(top // length, left[length])
+            m = left[length] // each
+            room[top - each * length].append((((length, each),), m))
+            left[length] -= m * each
+    return [group for groups in room.values() for group in groups]
+
+
+def configurations(counts: np.ndarray, parts: tuple[float, ...] = (1.0, 0.9, 0.6, 0.4), wastes: tuple[int, ...] = (0, 1, 2)) -> tuple[list[tuple[Configuration, int]], float]:
+    """The rounding of fewest sequences among a few of the plan, and the lower bound on their number.
+
+    With many documents of each length the rounded-down configurations without waste do best, with few of
+    each the proportional rounding of a part of the plan.
+    """
     counts = counts.astype(np.int64)
     if not counts.any():
         return [], 0.0
     plan, bound = solve(counts)
-    tries = [rounded(plan, counts, part)[0] for part in parts]
+    tries = [settled(plan, counts, waste) for waste in wastes] + [rounded(plan, counts, part)[0] for part in parts]
     return min(tries, key=lambda t: sum(n for _, n in t)), bound
 
 
