@@ -254,6 +254,29 @@ def test_templates_and_hot_tokens(spark, monkeypatch):
         assert got == brute(rows, k, num, 100)
 
 
+def test_regions_of_size_lose_no_link(spark, monkeypatch):
+    """Sets on both sides of each region's end, all of common tokens; a long text leaves the others' triples as they are."""
+    for name, value in (("PAIRS_ABOVE", 3), ("TRIPLES_ABOVE", 6), ("TRIPLES_OF", 6), ("PAIRS_OF", 9)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(5)
+    rows = []
+    for n in [*range(15, 70), *range(15, 70), 400]:  # n - 2 shingles: regions end at 30 and 60
+        base = [f"c{j}" for j in range(n)]
+        for _ in range(3):
+            w = list(base)
+            if r.random() < 0.7:
+                w[r.randrange(n)] = f"e{r.randrange(20)}"
+            at = r.randrange(n)
+            rows.append((len(rows), " ".join(w[at:] + w[:at])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, num in ((3, 90), (5, 80)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.join(docs, k, num, 100).collect()}
+        assert got == brute(rows, k, num, 100)
+    sizes = spark.createDataFrame([(n,) for n in (1, 26, 27, 29, 30, 53, 54, 59, 60, 10**8)], "n int")
+    got = [x.r for x in sizes.orderBy("n").select(ngram_join._regions(90, 100).alias("r")).collect()]
+    assert got == [[3], [3], [2, 3], [2, 3], [2], [2], [1, 2], [1, 2], [1], [1]]
+
+
 # 6: packing
 
 
