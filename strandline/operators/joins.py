@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import ordered
+from strandline.operators.metric import Cells, least
+from strandline.storage import Scratch
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, l_us: str, r_us: str, tolerance_us: int, closed: bool = True) -> DataFrame:
@@ -104,44 +106,50 @@ def first_existing(df: DataFrame, candidates: list[Column], files: DataFrame, pa
     return out.withColumn(path, F.coalesce(*[f"{n}_found" for n in names])).where(F.col(path).isNotNull()).drop(*names, *[f"{n}_found" for n in names])
 
 
-def knn_mean(df: DataFrame, key: str, vector: str, value: str, k: int, block: int = 16_384) -> DataFrame:
+def knn_index(df: DataFrame, key: str, vector: str, value: str, k: int, block: int, scratch: Scratch) -> tuple[Cells, DataFrame]:
+    """The cells of the rows (id, v, y), and the rows with ``reach``, a distance that their k nearest other rows are within."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(value).cast("double").alias("y"))
+    cells = Cells(rows, scratch, block)
+    bound = cells.within(k + 1)
+
+    def reach(b: pd.DataFrame) -> pd.DataFrame:
+        """From the cells' counts, and from the row's own block where that holds k others."""
+        far, ids, v = bound(b.v), b.id.to_numpy(), np.stack(b.v.to_numpy())
+        for q, d, _ in least(v, v, k, ids, ids):
+            if len(d) == k:
+                far[q] = min(far[q], d[-1])
+        return b.assign(reach=far)
+
+    kind = dict(rows.dtypes)["id"]
+    return cells, scratch.write(cells.rows.groupBy("blk").applyInPandas(reach, f"id {kind}, v array<double>, y double, blk bigint, reach double"))
+
+
+def knn_mean(df: DataFrame, key: str, vector: str, value: str, k: int, block: int = 4096) -> DataFrame:
     """(key, mean, found): for each row the inverse-distance mean of the value of its k nearest other rows by whole vector.
 
     Exact, without a radius: equal distances go by the least key, and neighbours at distance 0 count alone.
-    ``key`` identifies a row. All pairs are formed, but in memory only: every block of rows meets every
-    other in one call that returns k rows for each query, so work and shuffle grow with the square of the
-    rows (the shuffle by the number of blocks). Rows without a vector are left out.
+    ``key`` identifies a row. Each row asks only the blocks of pivot cells that the triangle inequality
+    doesn't rule out, in calls of two blocks that return k rows for each question. How much is ruled out
+    depends on the vectors: clustered ones ask few cells, evenly spread ones of many elements nearly all.
+    Rows without a vector are left out.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(value).cast("double").alias("y"))
-    n = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.select("id", "v", F.col("_b").alias("i"), every.alias("j"))
-    known = rows.select("id", "v", "y", F.col("_b").alias("j"), every.alias("i"))
+    scratch = Scratch(df.sparkSession)
+    cells, rows = knn_index(df, key, vector, value, k, block, scratch)
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": a.id[:0], "d": [], "other": a.id[:0], "y": []})
         b = b.sort_values("id")
-        va, vb, ids, ys = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), b.id.to_numpy(), b.y.to_numpy(float)
-        na, nb, out = (va * va).sum(1), (vb * vb).sum(1), []
-        top = min(k + 1, len(vb))  # the row itself may be among them
-        for at in range(0, len(va), 256):
-            part, own = va[at : at + 256], a.id.to_numpy()[at : at + 256]
-            d2 = na[at : at + 256, None] + nb - 2 * part @ vb.T
-            cut = np.partition(d2, top - 1, axis=1)[:, top - 1] + 1e-9 * (na[at : at + 256] + nb.max())
-            for q in range(len(part)):
-                # The product rounds; what is near enough by it is measured exactly.
-                near = np.flatnonzero(d2[q] <= cut[q])
-                near = near[ids[near] != own[q]]
-                d = np.sqrt(((vb[near] - part[q]) ** 2).sum(1))
-                for m in np.argsort(d, kind="stable")[:k]:
-                    out.append((own[q], d[m], ids[near[m]], ys[near[m]]))
+        own, ids, ys, out = a.id.to_numpy(), b.id.to_numpy(), b.y.to_numpy(float), []
+        for q, d, m in least(np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), k, own, ids):
+            out += zip([own[q]] * len(m), d, ids[m], ys[m], strict=True)
         return pd.DataFrame(out, columns=["id", "d", "other", "y"])
 
     kind = dict(rows.dtypes)["id"]
-    met = asked.groupBy("i", "j").cogroup(known.groupBy("i", "j")).applyInPandas(nearest, f"id {kind}, d double, other {kind}, y double")
+    met = cells.meet(rows.select("id", "v", "blk", "reach"), cells.rows, F.col("reach"), nearest, f"id {kind}, d double, other {kind}, y double")
     near = met.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("_n") <= k)
     same, w = F.when(F.col("d") == 0, 1), F.when(F.col("d") > 0, 1 / F.col("d"))
     mean = F.when(F.count(same) > 0, F.avg(F.when(F.col("d") == 0, F.col("y")))).otherwise(F.sum(w * F.col("y")) / F.sum(w))
-    return near.groupBy(F.col("id").alias(key)).agg(F.round(mean, 6).alias("mean"), F.count(F.lit(1)).alias("found"))
+    out = scratch.write(near.groupBy(F.col("id").alias(key)).agg(F.round(mean, 6).alias("mean"), F.count(F.lit(1)).alias("found")))
+    scratch.clear(but=out)
+    return out

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from strandline.operators.agg import ranked
 from strandline.operators.graph import components as linked
+from strandline.operators.metric import Cells
+from strandline.operators.metric import near as within_eps
 from strandline.operators.vectors import mean_vector
 from strandline.storage import Scratch
 
@@ -48,56 +50,24 @@ def logistic(df: DataFrame, vector: str, label: str, weight: str, c: float = 0.1
     return fit.fit(d).transform(d).withColumn(name, F.get(vector_to_array("_p"), F.lit(1))).drop("_v", "_p", "_r", "_y")
 
 
-def _blocks(rows: DataFrame, reach: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """rows (id, v, c) with a block number ``blk``, and the pairs (i, j) of blocks that points within ``reach`` may be in.
-
-    Blocks are ranges of the coordinate c, and ranges that equal or dense points fill are dealt to several
-    blocks by hash, so no block is much larger than ``block``. One row for each range goes to the driver.
-    """
-    n = max(1, -(-rows.count() // block))
-    cuts = sorted(set(rows.approxQuantile("c", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
-    ranged = rows.withColumn("r", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("c"))) if cuts else F.lit(0))
-    spans, parts = [], []
-    for r, low, high, rows_in in sorted(tuple(x) for x in ranged.groupBy("r").agg(F.min("c"), F.max("c"), F.count(F.lit(1))).collect()):
-        share = max(1, -(-rows_in // block))
-        parts.append((r, len(spans), share))
-        spans += [(low, high)] * share
-    met = [(i, j) for i, (a, b) in enumerate(spans) for j, (c, d) in enumerate(spans) if c <= b + reach and a <= d + reach]
-    spark = rows.sparkSession
-    starts = spark.createDataFrame(parts, "r int, first int, share int")  # one row for each range
-    dealt = ranged.join(F.broadcast(starts), "r").withColumn("blk", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("share"))).cast("int"))
-    return dealt.select("id", "v", "blk"), spark.createDataFrame(met, "i int, j int")
-
-
 def dbscan(df: DataFrame, row: str, vector: str, eps: float, least: int, block: int = 4096) -> DataFrame:
     """(row, cluster) by whole vectors: clusters of core points within eps of each other, named by their least row id; -1 is noise.
 
     A core point has ``least`` points within eps, itself included; border points take the least
-    neighbouring cluster. Blocks of points along the widest element meet those within eps of them, in
+    neighbouring cluster. Points ask the blocks of pivot cells that may hold points within eps of them, in
     memory: a call returns a count for each point, then links that join what is connected (no more than
     its points), then the border's clusters, never the pairs. So dense or equal points cost time but no
-    output; time grows with the square of the points that share a stretch of the widest element. Rows
+    output; time grows with the square of the points that share a cell's surroundings. Rows
     without a vector are noise. ``row`` identifies a row.
     """
     scratch = Scratch(df.sparkSession)
     has = df.where(F.col(vector).isNotNull()).select(F.col(row).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    spread = has.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.stddev_pop("x").alias("s")).orderBy(F.desc("s"), "p").limit(1).collect()
-    rows, met = _blocks(scratch.write(has.withColumn("c", F.get("v", F.lit(spread[0].p if spread else 0)))), eps, block)
-    rows = scratch.write(rows)
+    cells = Cells(has, scratch, block)
+    rows = cells.rows
     kind = dict(rows.dtypes)["id"]
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-        """For 256 rows of a at a time: where they start, and which of b is within eps."""
-        va, vb = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
-        nb = (vb * vb).sum(1)
-        for at in range(0, len(va), 256):
-            part = va[at : at + 256]
-            d2 = (part * part).sum(1)[:, None] + nb - 2 * part @ vb.T
-            within = d2 <= eps * eps
-            # The product rounds; what is close to the limit is measured exactly.
-            for q, m in zip(*np.nonzero(np.abs(d2 - eps * eps) <= 1e-9 * (1 + nb.max())), strict=True):
-                within[q, m] = ((part[q] - vb[m]) ** 2).sum() <= eps * eps
-            yield at, within
+        return within_eps(np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), eps)
 
     def counts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -124,10 +94,7 @@ def dbscan(df: DataFrame, row: str, vector: str, eps: float, least: int, block:
         return pd.DataFrame({"id": a.id.to_numpy()[first >= 0], "cluster": b.cluster.to_numpy()[first[first >= 0]]})
 
     def meet(left: DataFrame, right: DataFrame, f: Callable, schema: str) -> DataFrame:
-        asked = left.join(met, F.col("blk") == F.col("i")).drop("blk").groupBy("i", "j")
-        known = right.select(*[F.col(c).alias(c) for c in right.columns]).join(met, F.col("blk") == F.col("j"))
-        known = known.select(*[F.col(c).alias(c) for c in known.columns if c != "blk"]).groupBy("i", "j")
-        return asked.cogroup(known).applyInPandas(f, schema)
+        return cells.meet(left, right, F.lit(float(eps)), f, schema)
 
     core_ids = meet(rows, rows, counts, f"id {kind}, n bigint").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("id")
     core_ids = scratch.write(core_ids)
