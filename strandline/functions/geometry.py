@@ -14,6 +14,22 @@ def mean_point(ring: Column) -> Column:
     return F.struct(mean("x").alias("x"), mean("y").alias("y"))
 
 
+def centroid(ring: Column) -> Column:
+    """struct<x, y>: the centroid of the area of a ring array<struct<x, y>>, not closed; of no area, the mean of its vertices."""
+    n, o = F.size(ring), F.element_at(ring, 1)  # relative to a vertex, for the differences of large coordinates
+
+    def part(v: Column, i: Column) -> Column:
+        w = F.element_at(ring, ((i + 1) % n + 1).cast("int"))
+        ax, ay, bx, by = v["x"] - o["x"], v["y"] - o["y"], w["x"] - o["x"], w["y"] - o["y"]
+        cross = ax * by - bx * ay
+        return F.struct(cross.alias("a"), ((ax + bx) * cross).alias("x"), ((ay + by) * cross).alias("y"))
+
+    parts = F.transform(ring, part)
+    total = lambda c: F.aggregate(parts, F.lit(0.0), lambda s, p: s + p[c])
+    area = total("a")
+    return F.when(area == 0, mean_point(ring)).otherwise(F.struct((o["x"] + total("x") / (3 * area)).alias("x"), (o["y"] + total("y") / (3 * area)).alias("y")))
+
+
 def radius(ring: Column, centre: Column) -> Column:
     """The largest distance of a vertex from the centre."""
     return F.array_max(F.transform(ring, lambda v: F.hypot(v["x"] - centre["x"], v["y"] - centre["y"])))

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from strandline.plans import catalog_queries, event_queries, image_queries, more_queries, series_queries, table_queries, value_queries  # noqa: F401
+    from strandline.plans import catalog_queries, event_queries, image_queries, map_queries, more_queries, series_queries, table_queries, value_queries  # noqa: F401
 
 
 _load()
