@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry, projection
-from strandline.operators import joins
+from strandline.operators import joins, resample
 from strandline.plans.base import table
 from strandline.queries import query
 
@@ -97,3 +97,85 @@ def nearest_on_ellipsoid(spark, sf_dir):
     dx, dy = F.col("id_x") - F.col("site_x"), F.col("id_y") - F.col("site_y")
     met = joins.nearest_points(a, b, F.sqrt(dx * dx + dy * dy), 1700.0, ("id_x", "id_y"), ("site_x", "site_y"), "id", 1700.0)
     return met.select("id", "site", F.round("distance", 4).alias("distance"))
+
+
+#: Elements of 0.2 and more are nodata; the others a label of 0 to 2.
+_LABEL = "case when v is null then null when v < -0.08 then 0 when v < 0.02 then 1 else 2 end"
+_PIXELS = "px as (select vec_id, i // 8 as r, i % 8 as c, case when embedding[i + 1] < 0.2 then embedding[i + 1]::double end as v from embeddings, (select unnest(range(64)) as i))"
+
+
+def _tiles(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.transform("embedding", lambda v: F.when(v < 0.2, v.cast("double"))).alias("tile"))
+
+
+def _flat(df, values, width, *names):
+    flat = df.select("vec_id", F.posexplode(values).alias("_k", "_v"))
+    return flat.select("vec_id", (F.col("_k") % width).alias("col"), F.floor(F.col("_k") / width).cast("int").alias("row"), *names)
+
+
+@query("resample_points", f"""with {_PIXELS},
+s as (select vec_id, 0.75::double as a, 0.25::double as b, (vec_id % 7) * 0.5::double as c, -0.25::double as d, -0.75::double as e, 100.0::double as f from embeddings),
+k as (select k // 6 as j, k % 6 as i from (select unnest(range(36)) as k)),
+x as (select s.*, i, j, 1.25 * (i + 0.5) + 0.7 - c as x, -1.25 * (j + 0.5) + 99.3 - f as y, a * e - b * d as det from s, k),
+p as (select vec_id, i, j, (e * x - b * y) / det as u, (a * y - d * x) / det as v from x),
+n as (select p.vec_id, i, j, px.v as nearest from p left join px on px.vec_id = p.vec_id and px.c = floor(u) and px.r = floor(p.v)),
+t as (select p.vec_id, i, j, u, p.v as w, px.v, (1 - abs(u - 0.5 - px.c)) * (1 - abs(p.v - 0.5 - px.r)) as near from p join px on px.vec_id = p.vec_id and px.c between floor(u - 0.5) and floor(u - 0.5) + 1 and px.r between floor(p.v - 0.5) and floor(p.v - 0.5) + 1),
+m as (select vec_id, i, j, sum(t.v * near) / sum(near) as bilinear from t where t.v is not null and near > 0 and u >= 0 and w >= 0 and u < 8 and w < 8 group by all)
+select vec_id, i::int as col, j::int as row, round(nearest, 6) as nearest, round(bilinear, 6) as bilinear from n left join m using (vec_id, i, j)""")
+def resample_points(spark, sf_dir):
+    """Every tile, on a turned grid of its own, read at the cells of one north-up grid: nearest and bilinear."""
+    t = _tiles(spark, sf_dir)
+    src = resample.grid(F.lit(0.75), F.lit(0.25), (F.col("vec_id") % 7) * 0.5, F.lit(-0.25), F.lit(-0.75), F.lit(100.0))
+    dst = resample.north_up(F.lit(0.7), F.lit(99.3), F.lit(1.25), F.lit(1.25))
+    t = t.withColumns({"_n": resample.nearest(F.col("tile"), (8, 8), src, dst, (6, 6)), "_b": resample.bilinear(F.col("tile"), (8, 8), src, dst, (6, 6))})
+    both = F.arrays_zip(F.col("_n").alias("n"), F.col("_b").alias("b"))
+    return _flat(t, both, 6, F.round("_v.n", 6).alias("nearest"), F.round("_v.b", 6).alias("bilinear"))
+
+
+@query("resample_areas", f"""with {_PIXELS}, lab as (select vec_id, r, c, ({_LABEL})::double as v from px),
+k as (select k // 3 as j, k % 3 as i from (select unnest(range(9)) as k)),
+g as (select i, j, greatest((3.0 * i - 0.4) / 1.0, 0) as u0, least((3.0 * (i + 1) - 0.4) / 1.0, 8) as u1, greatest((2.9 * j + 0.3) / 1.0, 0) as v0, least((2.9 * (j + 1) + 0.3) / 1.0, 8) as v1 from k),
+o as (select vec_id, i, j, v, (least(u1, c + 1) - greatest(u0, c)) * (least(v1, r + 1) - greatest(v0, r)) as w from lab, g where v is not null and c + 1 > u0 and c < u1 and r + 1 > v0 and r < v1),
+b as (select vec_id, i, j, v, round(sum(w), 9) as w from o group by all),
+m as (select vec_id, i, j, v as majority from b qualify row_number() over (partition by vec_id, i, j order by w desc, v) = 1),
+s as (select vec_id, i, j, sum(v * w) as total, sum(w) as valid from o group by all),
+every as (select vec_id, i, j from embeddings, k)
+select vec_id, i::int as col, j::int as row, round(coalesce(total, 0), 6) as total, round(coalesce(valid, 0), 6) as valid, round(total / valid, 6) as mean, majority
+from every left join s using (vec_id, i, j) left join m using (vec_id, i, j)""")
+def resample_areas(spark, sf_dir):
+    """The labels of every tile on a coarser grid of odd ratio that starts and ends outside the tile: sum, valid count, mean, majority."""
+    label = lambda v: F.when(v < -0.08, 0).when(v < 0.02, 1).when(v.isNotNull(), 2).cast("double")
+    t = _tiles(spark, sf_dir).withColumn("tile", F.transform("tile", label))
+    src = resample.north_up(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))
+    dst = resample.north_up(F.lit(-0.4), F.lit(-0.3), F.lit(3.0), F.lit(2.9))
+    t = t.withColumn("_a", resample.by_area(F.col("tile"), (8, 8), src, dst, (3, 3)))
+    return _flat(t, F.col("_a"), 3, *[F.round(f"_v.{c}", 6).alias(c) for c in ("total", "valid", "mean")], F.col("_v.majority").alias("majority"))
+
+
+@query("union_grids", """with b as (select c_nationkey as nation, ((c_custkey * 7919 % 36000) / 100.0)::double as west, ((c_custkey * 613 % 9000) / 100.0)::double as south, 0.35 + (c_custkey % 4) * 0.2::double as side from customer),
+u as (select nation, min(west) as west, min(south) as south, max(west + side) as east, max(south + side) as north from b group by nation),
+g as (select nation, floor((west - 0.1) / 0.25)::bigint as col, floor((north - 90.2) / -0.25)::bigint as row, ceil((east - 0.1) / 0.25)::bigint as c1, ceil((south - 90.2) / -0.25)::bigint as r1 from u)
+select nation, col, row, c1 - col as width, r1 - row as height from g""")
+def union_grids(spark, sf_dir):
+    """For every nation the cells of one reference grid that cover all its customers' boxes."""
+    at = lambda m, n: ((F.col("c_custkey") * m) % n).cast("double") / 100.0
+    side = (F.col("c_custkey") % 4) * 0.2 + 0.35
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), at(7919, 36000).alias("_w"), at(613, 9000).alias("_s"), side.alias("_d"))
+    box = F.struct(F.col("_w").alias("west"), F.col("_s").alias("south"), (F.col("_w") + F.col("_d")).alias("east"), (F.col("_s") + F.col("_d")).alias("north"))
+    ref = resample.north_up(F.lit(0.1), F.lit(90.2), F.lit(0.25), F.lit(0.25))
+    return resample.union_grid(c.withColumn("box", box), ["nation"], "box", ref).select("nation", "union.*")
+
+
+@query("merged_label_counts", f"""with {_PIXELS}, lab as (select vec_id, r, c, {_LABEL} as v from px),
+s as (select vec_id, (vec_id % 9) * 1.375::double as x0, 50 - (vec_id % 5) * 2.625::double as y0 from embeddings),
+d as (select s.*, floor((x0 - 0.25) / 0.75)::bigint as c0, ceil((x0 + 4 - 0.25) / 0.75)::bigint as c1, floor((y0 - 50.5) / -0.75)::bigint as r0, ceil((y0 - 4 - 50.5) / -0.75)::bigint as r1 from s),
+e as (select vec_id, x0, y0, unnest(range(c0, c1)) as col, r0, r1 from d), h as (select vec_id, x0, y0, col, unnest(range(r0, r1)) as row from e),
+p as (select vec_id, col, row, floor((0.75 * (col + 0.5) + 0.25 - x0) / 0.5) as c, floor((-0.75 * (row + 0.5) + 50.5 - y0) / -0.5) as r from h)
+select vec_id % 2 as half, col, row, count(*) filter (v = 1) as target, count(*) as valid from p join lab using (vec_id, c, r) where v is not null group by all""")
+def merged_label_counts(spark, sf_dir):
+    """Label tiles that lie across each other, counted on one grid: how often label 1, how often any."""
+    label = lambda v: F.when(v < -0.08, 0).when(v < 0.02, 1).when(v.isNotNull(), 2)
+    t = _tiles(spark, sf_dir).withColumns({"tile": F.transform("tile", label), "half": F.col("vec_id") % 2})
+    src = resample.north_up((F.col("vec_id") % 9) * 1.375, 50 - (F.col("vec_id") % 5) * 2.625, F.lit(0.5), F.lit(0.5))
+    return resample.merged(t, ["half"], "tile", (8, 8), src, resample.north_up(F.lit(0.25), F.lit(50.5), F.lit(0.75), F.lit(0.75)), 1)
