@@ -123,6 +123,64 @@ def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 42, s
     return r.select(group, F.when(turn == 0, pos).otherwise(k - 1 - pos).cast("int").alias("fold"))
 
 
+def _dealt(vectors: list[tuple[np.ndarray, int]], k: int) -> list[tuple[list[int], list[int]]]:
+    """For each count vector and its number of groups, in order: the folds of its first groups, and the cycle of folds of the rest.
+
+    Each group goes to the fold that leaves the least mean spread of the folds' label shares, of equal ones the fold with the
+    fewest rows. Adding alike to all folds changes no spread, so a state met before, but for that, starts a cycle.
+    """
+    total = np.maximum(sum((v * n for v, n in vectors), np.zeros_like(vectors[0][0])), 1).astype(float)
+    folds, out = np.zeros((k, len(total)), dtype=np.int64), []
+    for v, n in vectors:
+        chosen, met = [], {}
+        while len(chosen) < n:
+            state = (folds - folds.min(0)).tobytes()
+            if state in met:
+                break
+            met[state] = len(chosen)
+            spread = np.empty(k)
+            for f in range(k):
+                folds[f] += v
+                spread[f] = (folds / total).std(0).mean()
+                folds[f] -= v
+            best = np.flatnonzero(np.isclose(spread, spread.min(), rtol=1e-9, atol=1e-15))
+            f = int(best[folds[best].sum(1).argmin()])
+            folds[f] += v
+            chosen.append(f)
+        at = met[state] if len(chosen) < n else len(chosen)
+        cycle = chosen[at:]
+        for f in range(k):  # the groups of the cycle that were not dealt one by one
+            rest = (n - len(chosen)) // len(cycle) * cycle.count(f) + cycle[: (n - len(chosen)) % len(cycle)].count(f) if cycle else 0
+            folds[f] += v * rest
+        out.append((chosen[:at], cycle))
+    return out
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 42, most: int = 1_000_000) -> DataFrame:
+    """(group, fold): whole groups dealt greedily so that each label's rows are spread evenly over k folds.
+
+    Groups come in order of the spread of their label counts, the largest first; each goes to the fold that keeps the
+    spread of label shares least. Groups with equal counts are alike, so the driver deals distinct count vectors with
+    their number of groups (at most ``most`` vectors, else an error), one by one until a cycle is met; which group of
+    equal ones takes which place goes by a seeded hash, ranked in Spark. Rows without group or label are in no fold.
+    """
+    d = df.where(F.col(group).isNotNull() & F.col(label).isNotNull())
+    labels = sorted(r[0] for r in d.select(label).distinct().collect())  # labels are few
+    if not labels:
+        return d.select(group, F.lit(0).alias("fold"))
+    counts = d.groupBy(group).agg(F.array(*[F.count(F.when(F.col(label) == v, 1)) for v in labels]).alias("_v"))
+    found = counts.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} different count vectors of groups")
+    order = sorted(((np.array(r._v, dtype=np.int64), r.n) for r in found), key=lambda x: (-x[0].std(), tuple(-x[0])))
+    plan = [([int(x) for x in v], first, cycle) for (v, _), (first, cycle) in zip(order, _dealt(order, k), strict=True)]
+    plans = df.sparkSession.createDataFrame(plan, "_v array<bigint>, _first array<int>, _cycle array<int>")
+    r = ranked(counts, ["_v"], [F.xxhash64(F.lit(seed), F.col(group)), F.col(group)]).join(plans, "_v")
+    place, early = F.col("rank") - 1, F.size("_first")
+    later = F.get("_cycle", ((place - early) % F.when(F.size("_cycle") > 0, F.size("_cycle"))).cast("int"))
+    return r.select(group, F.when(place < early, F.get("_first", place.cast("int"))).otherwise(later).alias("fold"))
+
+
 def cluster_sweep(df: DataFrame, vector: str, ks: range, seed: int = 42) -> DataFrame:
     """(k, cost, sizes): for each k the sum of squared distances to the centres and the clusters' sizes, the largest first."""
     d = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v")).cache()

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from strandline.operators import filters, metrics
+from strandline.functions import tables
+from strandline.operators import filters, learn, metrics
 from strandline.plans.base import table
 from strandline.queries import query
 from strandline.sources import properties, tiff
@@ -98,3 +99,20 @@ def macro_scores(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("t"), F.expr(_PRED).alias("p"))
     out = metrics.macro(metrics.class_counts(li, "t", "p"))
     return out.select(*[F.round(c, 9).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1", "weighted_f1", "balanced_accuracy")])
+
+
+@query("column_statistics", "select l_suppkey, " + ", ".join(
+    f"count({c})::bigint as {c}_n, round(avg({c}), 6) as {c}_mean, round(stddev_pop({c}), 6) as {c}_std, min({c})::double as {c}_least, max({c})::double as {c}_most" for c in ("l_quantity", "l_discount")
+) + " from lineitem group by l_suppkey")
+def column_statistics(spark, sf_dir):
+    """The table function called from SQL over a table argument, a partition for each supplier."""
+    tables.register(spark)
+    table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_returnflag").createOrReplaceTempView("strandline_lineitem")
+    d = spark.sql("select * from column_statistics(TABLE(strandline_lineitem) PARTITION BY l_suppkey, key => 'l_suppkey')")
+    return d.select("l_suppkey", *[F.round(c, 6).alias(c) if c.endswith(("_mean", "_std")) else F.col(c) for c in d.columns[1:]])
+
+
+@query("stratified_group_folds")
+def stratified_group_folds(spark, sf_dir):
+    """Suppliers' rows dealt to five folds with even shares of the return flags."""
+    return learn.stratified_group_folds(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag", 5)
