@@ -102,12 +102,13 @@ def macro_scores(spark, sf_dir):
 
 
 @query("column_statistics", "select l_suppkey, " + ", ".join(
-    f"count({c})::bigint as {c}_n, round(avg({c}), 6) as {c}_mean, round(stddev_pop({c}), 6) as {c}_std, min({c})::double as {c}_least, max({c})::double as {c}_most" for c in ("l_quantity", "l_discount")
-) + " from lineitem group by l_suppkey")
+    f"count({c})::bigint as {c}_n, round(avg({c}), 6) as {c}_mean, round(stddev_pop({c}), 6) as {c}_std, min({c})::double as {c}_least, max({c})::double as {c}_most" for c in ("size", "rest")
+) + " from (select l_suppkey, sqrt(l_quantity) as size, sqrt(1 + l_discount) as rest from lineitem) group by l_suppkey")
 def column_statistics(spark, sf_dir):
     """The table function called from SQL over a table argument, a partition for each supplier."""
     tables.register(spark)
-    table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_returnflag").createOrReplaceTempView("strandline_lineitem")
+    li = table(spark, sf_dir, "lineitem")
+    li.select("l_suppkey", F.sqrt("l_quantity").alias("size"), F.sqrt(1 + F.col("l_discount")).alias("rest"), "l_returnflag").createOrReplaceTempView("strandline_lineitem")
     d = spark.sql("select * from column_statistics(TABLE(strandline_lineitem) PARTITION BY l_suppkey, key => 'l_suppkey')")
     return d.select("l_suppkey", *[F.round(c, 6).alias(c) if c.endswith(("_mean", "_std")) else F.col(c) for c in d.columns[1:]])
 
