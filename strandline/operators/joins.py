@@ -48,16 +48,19 @@ def asof_nearest(left: DataFrame, right: DataFrame, l_us: str, r_us: str, values
     return out.select("_l.*", F.col("_pick._at").alias(r_us), *[F.col(f"_pick.{v}").alias(v) for v in values])
 
 
-def nearest_points(left: DataFrame, right: DataFrame, distance: Column, cell: float, l_xy: tuple[str, str], r_xy: tuple[str, str], key: str, most: float) -> DataFrame:
+def nearest_points(left: DataFrame, right: DataFrame, distance: Column, cell: float, l_xy: tuple[str, str], r_xy: tuple[str, str], most: float) -> DataFrame:
     """All right points nearest to each left point (ties kept) within ``most``, by a grid of cells of at least that width.
 
-    ``distance`` is an expression of both sides' columns in the unit of the coordinates or larger.
+    ``distance`` is an expression of both sides' coordinates in their unit or larger; null leaves a pair out. Only different
+    places are compared; then every row is joined to what its place found, so points at one place cost their own rows.
     """
     around = F.explode(F.expr("flatten(transform(array(-1,0,1), i -> transform(array(-1,0,1), j -> struct(i as i, j as j))))"))
-    a = left.withColumn("_o", around).withColumns({"_cx": F.floor(F.col(l_xy[0]) / cell) + F.col("_o.i"), "_cy": F.floor(F.col(l_xy[1]) / cell) + F.col("_o.j")}).drop("_o")
-    b = right.withColumns({"_cx": F.floor(F.col(r_xy[0]) / cell), "_cy": F.floor(F.col(r_xy[1]) / cell)})
+    a = left.select(*l_xy).distinct().withColumn("_o", around)
+    a = a.withColumns({"_cx": F.floor(F.col(l_xy[0]) / cell) + F.col("_o.i"), "_cy": F.floor(F.col(l_xy[1]) / cell) + F.col("_o.j")}).drop("_o")
+    b = right.select(*r_xy).distinct().withColumns({"_cx": F.floor(F.col(r_xy[0]) / cell), "_cy": F.floor(F.col(r_xy[1]) / cell)})
     met = a.join(b, ["_cx", "_cy"]).withColumn("distance", distance).where(F.col("distance") <= most)
-    return met.withColumn("_rank", F.rank().over(Window.partitionBy(key).orderBy("distance"))).where("_rank = 1").drop("_rank", "_cx", "_cy")
+    near = met.withColumn("_rank", F.rank().over(Window.partitionBy(*l_xy).orderBy("distance"))).where("_rank = 1").drop("_rank", "_cx", "_cy")
+    return left.join(near.join(right, list(r_xy)), list(l_xy))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -95,7 +95,7 @@ def nearest_on_ellipsoid(spark, sf_dir):
 
     a, b = placed("orders", "o_orderkey", "id", 7919, 613), placed("supplier", "s_suppkey", "site", 331, 97)
     dx, dy = F.col("id_x") - F.col("site_x"), F.col("id_y") - F.col("site_y")
-    met = joins.nearest_points(a, b, F.sqrt(dx * dx + dy * dy), 1700.0, ("id_x", "id_y"), ("site_x", "site_y"), "id", 1700.0)
+    met = joins.nearest_points(a, b, F.sqrt(dx * dx + dy * dy), 1700.0, ("id_x", "id_y"), ("site_x", "site_y"), 1700.0)
     return met.select("id", "site", F.round("distance", 4).alias("distance"))
 
 

@@ -73,7 +73,7 @@ def spatial_nearest(spark, sf_dir):
     cx, cy = sinusoidal(F.col("clon"), F.col("clat"))
     c, s = c.withColumns({"x": cx, "y": cy}), s.withColumns({"sx": sx, "sy": sy})
     metres = F.round(F.sqrt(F.pow(F.col("sx") - F.col("x"), 2) + F.pow(F.col("sy") - F.col("y"), 2)), 3)
-    near = joins.nearest_points(c, s, metres, 30_000.0, ("x", "y"), ("sx", "sy"), "cid", 30_000.0)
+    near = joins.nearest_points(c, s, metres, 30_000.0, ("x", "y"), ("sx", "sy"), 30_000.0)
     return near.select("cid", "sid", F.col("distance").alias("metres"))
 
 
@@ -87,7 +87,8 @@ def bbox_nearest_station(spark, sf_dir):
     s, c = _points(spark, sf_dir)
     box = (F.abs(F.col("lon") - F.col("clon")) <= 0.3) & (F.abs(F.col("lat") - F.col("clat")) <= 0.3)
     deg = F.when(box, F.round(F.sqrt(F.pow(F.col("lon") - F.col("clon"), 2) + F.pow(F.col("lat") - F.col("clat"), 2)), 9))
-    near = joins.nearest_points(c, s, deg, 0.3, ("clon", "clat"), ("lon", "lat"), "cid", 1.0)
+    first = s.groupBy("lon", "lat").agg(F.min("sid").alias("sid"))
+    near = joins.nearest_points(c, first, deg, 0.3, ("clon", "clat"), ("lon", "lat"), 1.0)
     return near.groupBy("cid").agg(F.min(F.struct("distance", "sid")).alias("m")).select("cid", "m.sid", F.col("m.distance").alias("degrees"))
 
 
