@@ -60,7 +60,8 @@ def nearest_points(left: DataFrame, right: DataFrame, distance: Column, cell: fl
     b = right.select(*r_xy).distinct().withColumns({"_cx": F.floor(F.col(r_xy[0]) / cell), "_cy": F.floor(F.col(r_xy[1]) / cell)})
     met = a.join(b, ["_cx", "_cy"]).withColumn("distance", distance).where(F.col("distance") <= most)
     near = met.withColumn("_rank", F.rank().over(Window.partitionBy(*l_xy).orderBy("distance"))).where("_rank = 1").drop("_rank", "_cx", "_cy")
-    return left.join(near.join(right, list(r_xy)), list(l_xy))
+    # Both sides by place: a broadcast left would leave all output to the few tasks of the places.
+    return left.join(near.join(right, list(r_xy)).hint("merge"), list(l_xy))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
