@@ -72,7 +72,8 @@ def spatial_nearest(spark, sf_dir):
     sx, sy = sinusoidal(F.col("lon"), F.col("lat"))
     cx, cy = sinusoidal(F.col("clon"), F.col("clat"))
     c, s = c.withColumns({"x": cx, "y": cy}), s.withColumns({"sx": sx, "sy": sy})
-    metres = F.round(F.sqrt(F.pow(F.col("sx") - F.col("x"), 2) + F.pow(F.col("sy") - F.col("y"), 2)), 3)
+    apart = F.sqrt(F.pow(F.col("sx") - F.col("x"), 2) + F.pow(F.col("sy") - F.col("y"), 2))
+    metres = F.when(apart <= 30_000.0, F.round(apart, 3))
     near = joins.nearest_points(c, s, metres, 30_000.0, ("x", "y"), ("sx", "sy"), 30_000.0)
     return near.select("cid", "sid", F.col("distance").alias("metres"))
 
