@@ -110,6 +110,11 @@ def plain_spaces(text: Column) -> Column:
     return F.trim(F.translate(F.replace(text, F.lit("\u200b"), F.lit("")), "\u202f", " "))
 
 
+def base64_line(text: Column) -> Column:
+    """Base64 of the text's UTF-8 on one line; Spark breaks lines after 76 characters."""
+    return F.translate(F.base64(text.cast("binary")), "\r\n", "")
+
+
 def reshaped(a: Column, width: int) -> Column:
     """The flat array as rows of ``width`` elements; the last row may be shorter, an empty array has none."""
     starts = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(width))).otherwise(F.array().cast("array<int>"))

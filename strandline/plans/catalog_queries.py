@@ -176,7 +176,7 @@ def time_forms(spark, sf_dir):
 def text_cleanup(spark, sf_dir):
     url = F.col("url")
     odd = F.concat(F.lit("​ "), url, F.lit("  "))
-    return table(spark, sf_dir, "pages").select("page_id", scalars.plain_spaces(odd).alias("clean"), F.substring_index(F.replace(url, F.lit("/"), F.lit("_")), "_", 2).alias("short_id"), F.base64(url.cast("binary")).alias("code"))
+    return table(spark, sf_dir, "pages").select("page_id", scalars.plain_spaces(odd).alias("clean"), F.substring_index(F.replace(url, F.lit("/"), F.lit("_")), "_", 2).alias("short_id"), scalars.base64_line(url).alias("code"))
 
 
 @query(
