@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import ordered
-from strandline.operators.metric import Cells, least
+from strandline.operators.metric import Cells, Nearest, least
 from strandline.storage import Scratch
 
 
@@ -133,24 +135,21 @@ def knn_mean(df: DataFrame, key: str, vector: str, value: str, k: int, block: in
 
     Exact, without a radius: equal distances go by the least key, and neighbours at distance 0 count alone.
     ``key`` identifies a row. Each row asks only the blocks of pivot cells that the triangle inequality
-    doesn't rule out, in calls of two blocks that return k rows for each question. How much is ruled out
-    depends on the vectors: clustered ones ask few cells, evenly spread ones of many elements nearly all.
+    doesn't rule out; blocks are read, not shuffled, and a call returns k rows for each row and partition
+    of blocks. How much is ruled out depends on the vectors: clustered ones ask few cells, evenly spread ones of many elements nearly all.
     Rows without a vector are left out.
     """
     scratch = Scratch(df.sparkSession)
     cells, rows = knn_index(df, key, vector, value, k, block, scratch)
 
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": a.id[:0], "d": [], "other": a.id[:0], "y": []})
-        b = b.sort_values("id")
-        own, ids, ys, out = a.id.to_numpy(), b.id.to_numpy(), b.y.to_numpy(float), []
-        for q, d, m in least(np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), k, own, ids):
-            out += zip([own[q]] * len(m), d, ids[m], ys[m], strict=True)
-        return pd.DataFrame(out, columns=["id", "d", "other", "y"])
+    def found(state: Nearest, a: SimpleNamespace) -> tuple:
+        own = np.repeat(a.id, [len(x) for x in state.found])
+        flat = [x for f in state.found for x in f]
+        return own, *([x[c] for x in flat] for c in range(3))
 
     kind = dict(rows.dtypes)["id"]
-    met = cells.meet(rows.select("id", "v", "blk", "reach"), cells.rows, F.col("reach"), nearest, f"id {kind}, d double, other {kind}, y double")
+    schema = f"id {kind}, d double, other {kind}, y double"
+    met = cells.meet(rows.select("id", "v", "blk", "reach"), cells.rows, F.col("reach"), lambda a: Nearest(a, k), Nearest.add, found, schema)
     near = met.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("_n") <= k)
     same, w = F.when(F.col("d") == 0, 1), F.when(F.col("d") > 0, 1 / F.col("d"))
     mean = F.when(F.count(same) > 0, F.avg(F.when(F.col("d") == 0, F.col("y")))).otherwise(F.sum(w * F.col("y")) / F.sum(w))

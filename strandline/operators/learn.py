@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -50,14 +51,35 @@ def logistic(df: DataFrame, vector: str, label: str, weight: str, c: float = 0.1
     return fit.fit(d).transform(d).withColumn(name, F.get(vector_to_array("_p"), F.lit(1))).drop("_v", "_p", "_r", "_y")
 
 
+class Forest:
+    """Links between nodes that were not connected by earlier ones."""
+
+    def __init__(self):
+        self.above, self.kept = {}, []
+
+    def _root(self, x: object) -> object:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def join(self, a: object, b: object) -> None:
+        x, y = self._root(a), self._root(b)
+        if x != y:
+            self.above[y] = x
+            self.kept.append((a, b))
+
+    def links(self) -> tuple[list, list]:
+        return [a for a, _ in self.kept], [b for _, b in self.kept]
+
+
 def dbscan(df: DataFrame, row: str, vector: str, eps: float, least: int, block: int = 4096) -> DataFrame:
     """(row, cluster) by whole vectors: clusters of core points within eps of each other, named by their least row id; -1 is noise.
 
     A core point has ``least`` points within eps, itself included; border points take the least
-    neighbouring cluster. Points ask the blocks of pivot cells that may hold points within eps of them, in
-    memory: a call returns a count for each point, then links that join what is connected (no more than
-    its points), then the border's clusters, never the pairs. So dense or equal points cost time but no
-    output; time grows with the square of the points that share a cell's surroundings. Rows
+    neighbouring cluster. Points ask the blocks of pivot cells that may hold points within eps of them;
+    blocks are read, not shuffled. A call returns a count for each point, then links that join what is
+    connected (no more than its points), then the border's clusters, never the pairs. So dense or equal
+    points cost time but no output; time grows with the square of the points that share a cell's surroundings. Rows
     without a vector are noise. ``row`` identifies a row.
     """
     scratch = Scratch(df.sparkSession)
@@ -66,43 +88,55 @@ def dbscan(df: DataFrame, row: str, vector: str, eps: float, least: int, block:
     rows = cells.rows
     kind = dict(rows.dtypes)["id"]
 
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-        return within_eps(np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), eps)
-
-    def counts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": a.id[:0], "n": []})
-        return pd.DataFrame({"id": a.id, "n": np.concatenate([m.sum(1) for _, m in near(a, b)])})
-
-    def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": a.id[:0], "b": a.id[:0]})
-        own, other, group, out = a.id.to_numpy(), b.id.to_numpy(), np.arange(len(b)), []
-        for at, m in near(a, b):
-            for q, line in enumerate(m):
-                met_groups = np.unique(group[line])
-                out += [(own[at + q], other[g]) for g in met_groups]
-                if len(met_groups) > 1:
-                    group[np.isin(group, met_groups)] = met_groups[0]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    def borders(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": a.id[:0], "cluster": a.id[:0]})
-        b = b.sort_values("cluster")
-        first = np.concatenate([np.where(m.any(1), m.argmax(1), -1) for _, m in near(a, b)])
-        return pd.DataFrame({"id": a.id.to_numpy()[first >= 0], "cluster": b.cluster.to_numpy()[first[first >= 0]]})
-
-    def meet(left: DataFrame, right: DataFrame, f: Callable, schema: str) -> DataFrame:
-        return cells.meet(left, right, F.lit(float(eps)), f, schema)
-
-    core_ids = meet(rows, rows, counts, f"id {kind}, n bigint").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("id")
-    core_ids = scratch.write(core_ids)
-    core = rows.join(core_ids, "id", "left_semi")
-    named = linked(meet(core, core, links, f"a {kind}, b {kind}"), scratch)
-    named = core_ids.join(named.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    def near(a: SimpleNamespace, b: SimpleNamespace, asking: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at, m in within_eps(a.v[asking], b.v, eps):
+            yield asking[at : at + len(m)], m
+
+    def count(n: np.ndarray, a: SimpleNamespace, b: SimpleNamespace, asking: np.ndarray) -> None:
+        for q, m in near(a, b, asking):
+            n[q] += m.sum(1)
+
+    def link(forest: Forest, a: SimpleNamespace, b: SimpleNamespace, asking: np.ndarray) -> None:
+        for q, m in near(a, b, asking):
+            for i, line in zip(q, m, strict=True):
+                for g in np.unique(b.part[line]):
+                    forest.join(a.part[i], g)
+
+    def touch(least_of: np.ndarray, a: SimpleNamespace, b: SimpleNamespace, asking: np.ndarray) -> None:
+        order = np.argsort(b.cluster, kind="stable")
+        b = SimpleNamespace(v=b.v[order], cluster=b.cluster[order])
+        for q, m in near(a, b, asking):
+            for i, line in zip(q[m.any(1)], m[m.any(1)], strict=True):
+                c = b.cluster[line.argmax()]
+                least_of[i] = c if least_of[i] is None else min(c, least_of[i])
+
+    def touched(least_of: np.ndarray, a: SimpleNamespace) -> tuple:
+        has = np.array([c is not None for c in least_of], bool)
+        return a.id[has], least_of[has].tolist()
+
+    def parts(b: pd.DataFrame) -> pd.DataFrame:
+        """The core points of a block with the least id that is reached within the block."""
+        b = b.sort_values("id")
+        part, v = np.arange(len(b)), np.stack(b.v.to_numpy())
+        for at, m in within_eps(v, v, eps):
+            for line in m:
+                met = np.unique(part[line])
+                if len(met) > 1:
+                    part[np.isin(part, met)] = met[0]
+        return b.assign(part=b.id.to_numpy()[part])
+
+    def meet(left: DataFrame, right: DataFrame, *f: Callable | str) -> DataFrame:
+        return cells.meet(left, right, F.lit(float(eps)), *f)
+
+    counted = meet(rows, rows, lambda a: np.zeros(len(a.id), np.int64), count, lambda n, a: (a.id, n), f"id {kind}, n bigint")
+    core_ids = scratch.write(counted.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("id"))
+    core = scratch.write(rows.join(core_ids, "id", "left_semi").groupBy("blk").applyInPandas(parts, f"{', '.join(f'{c} {t}' for c, t in rows.dtypes)}, part {kind}"))
+    # What a block connects is one node, so that dense points make few links between blocks.
+    joined = meet(core, core, lambda a: Forest(), link, lambda forest, a: forest.links(), f"a {kind}, b {kind}")
+    joined = linked(joined.union(core.select("id", "part")), scratch)
+    named = core_ids.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     named = scratch.write(named)
-    edge = meet(rows.join(core_ids, "id", "left_anti"), core.join(named, "id"), borders, f"id {kind}, cluster {kind}").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    edge = meet(rows.join(core_ids, "id", "left_anti"), core.drop("part").join(named, "id"), lambda a: np.full(len(a.id), None), touch, touched, f"id {kind}, cluster {kind}").groupBy("id").agg(F.min("cluster").alias("cluster"))
     every = df.select(F.col(row).alias("id")).join(named.union(edge), "id", "left")
     out = scratch.write(every.select(F.col("id").alias(row), F.coalesce("cluster", F.lit(-1)).alias("cluster")))
     scratch.clear(but=out)
