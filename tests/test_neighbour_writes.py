@@ -3,11 +3,11 @@
 import numpy as np
 import pytest
 
-from strandline.operators import learn
+from strandline.operators import joins, learn
 from strandline.storage import Scratch
 
 
-@pytest.mark.parametrize("query", [lambda df: learn.dbscan(df, "i", "v", 2.0, 3, block=20)])
+@pytest.mark.parametrize("query", [lambda df: joins.knn_mean(df, "i", "v", "y", 3, block=20), lambda df: learn.dbscan(df, "i", "v", 2.0, 3, block=20)])
 def test_rows_written(spark, monkeypatch, query):
     """Evenly spread vectors in some twenty blocks, where nearly every row asks all of them."""
     r, n, wrote, write = np.random.default_rng(4), 400, [], Scratch.write
