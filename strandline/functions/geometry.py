@@ -24,10 +24,12 @@ def centroid(ring: Column) -> Column:
         cross = ax * by - bx * ay
         return F.struct(cross.alias("a"), ((ax + bx) * cross).alias("x"), ((ay + by) * cross).alias("y"))
 
-    parts = F.transform(ring, part)
-    total = lambda c: F.aggregate(parts, F.lit(0.0), lambda s, p: s + p[c])
-    area = total("a")
-    return F.when(area == 0, mean_point(ring)).otherwise(F.struct((o["x"] + total("x") / (3 * area)).alias("x"), (o["y"] + total("y") / (3 * area)).alias("y")))
+    names = ("a", "x", "y")
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in names])
+    sums = F.aggregate(F.transform(ring, part), zero, lambda s, p: F.struct(*[(s[c] + p[c]).alias(c) for c in names]))
+    # Bound by a lambda, so that the sums are made once.
+    middle = lambda s: F.when(s["a"] == 0, mean_point(ring)).otherwise(F.struct((o["x"] + s["x"] / (3 * s["a"])).alias("x"), (o["y"] + s["y"] / (3 * s["a"])).alias("y")))
+    return F.get(F.transform(F.array(sums), middle), F.lit(0))
 
 
 def radius(ring: Column, centre: Column) -> Column:

@@ -67,13 +67,18 @@ def central(zone: Number) -> Number:
     return zone * 6.0 - 183.0
 
 
-def utm(lon: Number, lat: Number, lon0: Number) -> tuple[Number, Number]:
-    """(east, north) on the zone about lon0; north runs on below zero in the south, see FALSE_NORTH."""
+def _turned(lon: Number, lat: Number, lon0: Number) -> tuple[Number, Number]:
+    """The tangent of the conformal latitude and the angle from the central meridian."""
     s, d = _call("sin", _call("radians", lat)), _call("radians", lon - lon0)
     c = 2 * sqrt(N) / (1 + N)
-    t = _call("sinh", _call("atanh", s) - _call("atanh", s * c) * c)
-    xi = _call("atan2", t, _call("cos", d))
-    eta = _call("atanh", _call("sin", d) / _call("sqrt", t * t + 1.0))
+    return _call("sinh", _call("atanh", s) - _call("atanh", s * c) * c), d
+
+
+def _sphere(t: Number, d: Number) -> tuple[Number, Number]:
+    return _call("atan2", t, _call("cos", d)), _call("atanh", _call("sin", d) / _call("sqrt", t * t + 1.0))
+
+
+def _plane(xi: Number, eta: Number) -> tuple[Number, Number]:
     east, north = eta, xi
     for j, a in enumerate(FORWARD, 1):
         u, v = xi * (2.0 * j), eta * (2.0 * j)
@@ -82,6 +87,11 @@ def utm(lon: Number, lat: Number, lon0: Number) -> tuple[Number, Number]:
     return east * (SCALE * RECTIFYING) + FALSE_EAST, north * (SCALE * RECTIFYING)
 
 
+def utm(lon: Number, lat: Number, lon0: Number) -> tuple[Number, Number]:
+    """(east, north) on the zone about lon0; north runs on below zero in the south, see FALSE_NORTH."""
+    return _plane(*_sphere(*_turned(lon, lat, lon0)))
+
+
 def from_utm(east: Number, north: Number, lon0: Number) -> tuple[Number, Number]:
     """(lon, lat) of a place on the zone about lon0, north below zero in the south."""
     xi, eta = north / (SCALE * RECTIFYING), (east - FALSE_EAST) / (SCALE * RECTIFYING)
@@ -108,12 +118,14 @@ def sinusoidal(lon: Number, lat: Number) -> tuple[Number, Number]:
 
 
 def as_points(ring: Column, lon0: Column) -> Column:
-    """array<struct<x, y>> of metres from an array<struct<x, y>> of degrees."""
-    def place(v: Column) -> Column:
-        x, y = utm(v["x"], v["y"], lon0)
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return F.transform(ring, place)
+    """array<struct<x, y>> of metres from an array<struct<x, y>> of degrees.
+
+    Inside a lambda Spark evaluates what stands several times as often, so each step is a pass of its own.
+    """
+    pair = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    turned = F.transform(ring, lambda v: pair(_turned(v["x"], v["y"], lon0)))
+    sphere = F.transform(turned, lambda v: pair(_sphere(v["x"], v["y"])))
+    return F.transform(sphere, lambda v: pair(_plane(v["x"], v["y"])))
 
 
 def corners(box: Column, lon0: Column) -> Column:

@@ -50,7 +50,8 @@ s as (select c.id, lon0, cx, cy, max(sqrt((x - cx) ** 2 + (y - cy) ** 2)) as r f
 select id, round(r, 4) as radius, round({_BACK["sw"][0].text}, 8) as west, round({_BACK["sw"][1].text}, 8) as south, round({_BACK["ne"][0].text}, 8) as east, round({_BACK["ne"][1].text}, 8) as north from s""")
 def circle_squares(spark, sf_dir):
     """The square about every drawn circle: centroid and radius in metres of its zone, the square's corners in degrees."""
-    z = _zoned(spark, sf_dir).withColumn("_r", 0.01 + (F.col("id") % 5) * 0.002)
+    # Few bytes a row but much to compute: read as they come, all rows would be the few tasks of a small file.
+    z = _zoned(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism).withColumn("_r", 0.01 + (F.col("id") % 5) * 0.002)
     turn = lambda k: F.radians(k * 45)
     ring = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct((F.col("lon") + F.col("_r") * F.cos(turn(k))).alias("x"), (F.col("lat") + F.col("_r") * F.sin(turn(k))).alias("y")))
     m = z.withColumn("ring", projection.as_points(ring, F.col("lon0")))

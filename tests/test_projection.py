@@ -46,3 +46,10 @@ def test_centroid(spark):
     got = [x.c for x in df.select(geometry.centroid(F.col("r")).alias("c")).collect()]
     want = ((4 * 2 + 2 * 0.5) / 6, (4 * 0.5 + 2 * 2) / 6)
     assert np.allclose((got[0].x - 1e6, got[0].y - 5e6), want) and (got[1].x, got[1].y) == (3.0, 3.0)
+
+
+def test_small_file_is_many_tasks(spark):
+    from strandline.plans import map_queries
+
+    got = map_queries.circle_squares(spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
