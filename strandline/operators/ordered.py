@@ -63,7 +63,7 @@ def with_halo(d: DataFrame, key: str, before: int = 0, after: int = 0, order: st
 def with_carry(d: DataFrame, key: str, value: str, summary: Column, chain: Callable[[Column], Column], order: str = "us", width_us: int = WIDTH_US, backwards: bool = False) -> DataFrame:
     """d with a row before the first (``backwards``: after the last) of each slice, whose ``value`` is the state left by all slices
     before (after) it: ``summary`` reduces a slice, ``chain`` the summaries, as a window function. Other columns are null."""
-    d = materialise(d)  # read twice: what it is made of, windows and all, is computed once
+    d = materialise(d, few=False)  # read twice: what it is made of, windows and all, is computed once
     per = d.groupBy(key, "_slice").agg(summary.alias("_s"))
     frame = Window.partitionBy(key).orderBy(F.desc("_slice") if backwards else F.asc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     at = (F.col("_slice") + 1) * width_us if backwards else F.col("_slice") * width_us - 1

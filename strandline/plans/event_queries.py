@@ -14,10 +14,13 @@ GAP_US, TOL_US = 24 * HOUR_US, 48 * HOUR_US
 
 
 def both(spark, sf_dir, min_run: int = 2):
-    """Change events of the truth and of the predictions, decoded alike."""
-    o = observations(spark, sf_dir).withColumn("y", F.col("y").cast("double"))
-    truth = series.change_events(series.hysteresis(o, "y", 0.7, 0.3, min_run, GAP_US), "state", GAP_US)
-    found = series.change_events(series.hysteresis(o, "p", 0.7, 0.3, min_run, GAP_US), "state", GAP_US)
+    """Change events of the truth and of the predictions, decoded alike: as two series of each site, in one pass."""
+    values = (("truth", F.col("y").cast("double")), ("found", F.col("p")))
+    sides = F.explode(F.array(*[F.struct(F.lit(name).alias("side"), v.alias("v")) for name, v in values])).alias("_s")
+    rows = observations(spark, sf_dir).select("site", "us", sides).select(F.struct("site", "_s.side").alias("series"), "us", "_s.v")
+    states = series.hysteresis(rows, "v", 0.7, 0.3, min_run, GAP_US, "series")
+    changes = series.change_events(states, "state", GAP_US, "series").select("series.*", "event_us", "new_state")
+    truth, found = (changes.where(F.col("side") == name).drop("side") for name, _ in values)
     return truth, found
 
 
