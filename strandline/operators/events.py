@@ -187,8 +187,8 @@ def hmm_states(
     be columns of ``df`` that are constant within a key.
 
     What decides a sample's state is the lead of open over closed, and a chunk of samples is a simple
-    function of the lead before it. So chunks of ``chunk`` samples are summarised on their own, their
-    summaries chained, and every chunk decoded on its own; no call holds a key's whole series. The way
+    function of the lead before it. So chunks of ``chunk`` samples that others follow are summarised on their
+    own, their summaries chained, and every chunk decoded on its own; no call holds a key's whole series. The way
     back is a window over the samples' back pointers.
     """
     kind = dict(df.dtypes)[key]
@@ -198,12 +198,12 @@ def hmm_states(
     q = lit(reliability) * q + (1 - lit(reliability)) * 0.5
     rows = df.where(F.col(key).isNotNull()).select(key, "us", q.alias("q"), lit(tau_open_h).alias("open"), lit(tau_closed_h).alias("closed"))
     hours, number = (F.col("us") - F.lag("us").over(w)) / 3.6e9, F.row_number().over(w) - 1
-    rows = rows.withColumns({"hours": F.coalesce(hours, F.lit(0.0)), "number": number}).withColumn("gap", F.col("hours") > gap_h)
+    rows = rows.withColumns({"hours": F.coalesce(hours, F.lit(0.0)), "number": number, "size": F.count(F.lit(1)).over(Window.partitionBy(key))}).withColumn("gap", F.col("hours") > gap_h)
     after = {"after_gap": F.col("gap"), "reference": F.coalesce(F.lag("gap").over(w), F.lit(False))}[segments]
     stay = lambda tau: F.greatest(-F.col("hours") / F.greatest(F.col(tau), F.lit(FLOOR)), F.lit(float(np.log(FLOOR))))
     move = lambda tau: F.log(F.greatest(1 - F.exp(-F.col("hours") / F.greatest(F.col(tau), F.lit(FLOOR))), F.lit(FLOOR)))
     steps = rows.select(
-        key, "us", "number", F.floor(F.col("number") / chunk).alias("chunk"), (after | (F.col("number") == 0)).alias("start"), (F.col("number") == 0).alias("first"),
+        key, "us", "number", F.floor(F.col("number") / chunk).alias("chunk"), F.floor((F.col("size") - 1) / chunk).alias("last"), (after | (F.col("number") == 0)).alias("start"), (F.col("number") == 0).alias("first"),
         F.log(F.col("q") / (1 - F.col("q"))).alias("e"), stay("closed").alias("s0"), move("closed").alias("m0"), stay("open").alias("s1"), move("open").alias("m1"),
     )
     columns = ["start", "first", "e", "s0", "m0", "s1", "m1"]
@@ -231,8 +231,8 @@ def hmm_states(
             for k, c, *f in g[[key, "chunk", "kind", "a", "b", "c", "d"]].itertuples(index=False, name=None):
                 if k != at:
                     at, d = k, 0.0
-                out.append((k, c, d))
                 d = _at(tuple(f), d)
+                out.append((k, c + 1, d))
             yield pd.DataFrame(out, columns=[key, "chunk", "lead"])
 
     def pointers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,9 +251,11 @@ def hmm_states(
 
     # Rows stream by in order, dealt by chunk; a call holds one batch and the chunk's function or lead.
     dealt = lambda df: df.repartition(key, "chunk").sortWithinPartitions(key, "chunk", "number")
-    functions = dealt(steps).mapInPandas(summaries, f"{key} {kind}, chunk bigint, kind string, a double, b double, c double, d double")
+    # A first chunk starts anew and a last one leads nowhere, so most series, of one chunk, need no summary.
+    functions = dealt(steps.where("chunk < last").drop("last")).mapInPandas(summaries, f"{key} {kind}, chunk bigint, kind string, a double, b double, c double, d double")
     leads = functions.repartition(key).sortWithinPartitions(key, "chunk").mapInPandas(chained, f"{key} {kind}, chunk bigint, lead double")
-    made = dealt(steps.join(leads, [key, "chunk"])).mapInPandas(pointers, f"{key} {kind}, us bigint, number bigint, start boolean, from0 int, from1 int, top int")
+    led = steps.drop("last").join(leads, [key, "chunk"], "left").fillna(0.0, ["lead"])
+    made = dealt(led).mapInPandas(pointers, f"{key} {kind}, us bigint, number bigint, start boolean, from0 int, from1 int, top int")
     # Seen from the next sample, a state is known, that of the next sample, or its opposite.
     back = Window.partitionBy(key).orderBy(F.desc("number"))
     last = F.coalesce(F.lag("start").over(back), F.lit(True))
