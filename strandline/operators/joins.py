@@ -114,20 +114,22 @@ def first_existing(df: DataFrame, candidates: list[Column], files: DataFrame, pa
 
 def knn_index(df: DataFrame, key: str, vector: str, value: str, k: int, block: int, scratch: Scratch) -> tuple[Cells, DataFrame]:
     """The cells of the rows (id, v, y), and the rows with ``reach``, a distance that their k nearest other rows are within."""
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(value).cast("double").alias("y"))
+    # Floats stay floats where rows are written and shuffled, which halves them; as doubles they are the same numbers.
+    v = F.col(vector) if dict(df.dtypes)[vector] == "array<float>" else F.transform(vector, lambda x: x.cast("double"))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), v.alias("v"), F.col(value).cast("double").alias("y"))
     cells = Cells(rows, scratch, block)
     bound = cells.within(k + 1)
 
     def reach(b: pd.DataFrame) -> pd.DataFrame:
         """From the cells' counts, and from the row's own block where that holds k others."""
-        far, ids, v = bound(b.v), b.id.to_numpy(), np.stack(b.v.to_numpy())
+        far, ids, v = bound(b.v), b.id.to_numpy(), np.stack(b.v.to_numpy()).astype(float)
         for q, d, _ in least(v, v, k, ids, ids):
             if len(d) == k:
                 far[q] = min(far[q], d[-1])
         return b.assign(reach=far)
 
-    kind = dict(rows.dtypes)["id"]
-    return cells, scratch.write(cells.rows.groupBy("blk").applyInPandas(reach, f"id {kind}, v array<double>, y double, blk bigint, reach double"))
+    kind, vectors = (dict(rows.dtypes)[c] for c in ("id", "v"))
+    return cells, scratch.write(cells.rows.groupBy("blk").applyInPandas(reach, f"id {kind}, v {vectors}, y double, blk bigint, reach double"))
 
 
 def knn_mean(df: DataFrame, key: str, vector: str, value: str, k: int, block: int = 4096) -> DataFrame:
